@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, sharding, urltrie
+from . import jaccard, langid, media, packing, sharding, tokencount, urltrie
 from .util import small_batches, table
 
 URL_RULES = [
@@ -20,6 +22,28 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.ogg_read(media.ogg_store(table(spark, sf_dir, "documents")), carry=("n_bytes",))
 
 
+def op2_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op3_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.remainder() == 2, F.lit(False)))
+    model = langid.train(docs.where(langid.remainder() != 2))
+    return langid.predict(docs, model, carry=("held_out",))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op8_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrie.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,10 +34,22 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def runs(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Cut a batch into slices of about ``most`` characters, of one text at least."""
+    low = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= most:
+            yield low, i + 1
+            low, held = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def saved(df: DataFrame, tag: str = "", at: str = "") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
-    path = scratch(spark, tag)
+    path = at or scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
