@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, media, packing, sharding, tokencount, urltrie
+from . import jaccard, langid, media, packing, repair, sharding, tokencount, urltrie
 from .util import small_batches, table
 
 URL_RULES = [
@@ -52,6 +52,11 @@ def op9_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return repair.read_shards(repair.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
