@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, media, packing, repair, sharding, tokencount, urltrie
+from . import decontam, jaccard, langid, media, packing, repair, sharding, tokencount, urltrie
 from .util import small_batches, table
 
 URL_RULES = [
@@ -34,6 +34,11 @@ def op3_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, carry=("held_out",))
 
 
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
