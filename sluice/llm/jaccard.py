@@ -231,3 +231,19 @@ def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, key: str =
     names = distinct.join(joined, "set", "left").select("set", F.coalesce("_least", "rep").alias("component_id"))
     out = base.join(names, "set", "left").withColumn("component_id", F.coalesce("component_id", key))
     return out.select(key, F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that stand for their component: those of its least key.
+
+    Rows without a key are kept. Rows that repeat a key and its text are one row afterwards.
+    """
+    found = saved(jaccard_components(df, k, percent, key, text), "jaccard-components")
+    drop = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_drop")).distinct()
+    drop = F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop
+    kept = df.join(drop, F.col(key) == F.col("_drop"), "left_anti")
+    repeated = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if repeated.limit(1).count():
+        keyless = kept.where(F.col(key).isNull())
+        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key, text]).union(keyless)
+    return kept

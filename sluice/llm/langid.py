@@ -169,6 +169,18 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return df.select(key, *carry, text).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def known(df: DataFrame, model: Model, min_score: float, text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language of at least ``min_score``."""
+    sent, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, probs = sent.value.score(b.column(place).to_pylist())
+            yield b.filter(pa.array([n != UNKNOWN and p >= min_score for n, p in zip(names, probs, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def remainder(key: str = "doc_id") -> Column:
     """crc32 of the key as text, mod 4; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4

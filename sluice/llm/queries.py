@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, media, packing, repair, sharding, tokencount, urltrie
+from . import decontam, htmlmain, jaccard, langid, media, packing, repair, sharding, tokencount, urltrie
 from .util import small_batches, table
 
 URL_RULES = [
@@ -44,6 +44,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return htmlmain.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
