@@ -84,7 +84,8 @@ class Engine:
         first = df.where("_wrong is not null").agg(F.min(F.struct(place.alias("at"), is_source.alias("source"), "_wrong")).alias("e")).first()["e"]
         good = df.where("_wrong is null")
         if first is not None:
-            good = good.where(place < F.struct(*(F.lit(x) for x in first["at"])))
+            limit = (F.lit(first["at"][c]).cast(df.schema[c].dataType).alias(c) for c in first["at"].asDict())
+            good = good.where(place < F.struct(*limit))
         rows = good.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n")).collect()
         self.stats = Stats(
             sum(r["n"] for r in rows) + (first is not None and not first["source"]),
