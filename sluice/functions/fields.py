@@ -25,7 +25,11 @@ class VariantFields:
     """Access to a variant column. A null column is a record without fields: nothing is found in it."""
 
     def __init__(self, column: str = "fields"):
-        self.column = F.col(column)
+        self.name = column
+
+    @property
+    def column(self) -> Column:
+        return F.col(self.name)
 
     def structured(self) -> Column:
         return self.column.isNotNull()
@@ -69,7 +73,11 @@ class ExactFields:
     """Access to the column of ``with_exact_fields``: map of path to (kind, text)."""
 
     def __init__(self, column: str = "_exact"):
-        self.column = F.col(column)
+        self.name = column
+
+    @property
+    def column(self) -> Column:
+        return F.col(self.name)
 
     def structured(self) -> Column:
         return self.column.isNotNull()

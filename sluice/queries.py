@@ -569,14 +569,15 @@ def streaming_equals_batch(spark, sf_dir):
 
 # Log lines
 
-_LOG = F.concat(
-    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" ["), F.upper(F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("info"))),
-    F.lit("] user="), F.col("user_id").cast("string"), F.lit(' msg="a \\"b\\" '), "event_type", F.lit('" user='), (F.col("user_id") + 1).cast("string"), F.lit(" =x y"),
-)
+def _log() -> Column:
+    return F.concat(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" ["), F.upper(F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("info"))),
+        F.lit("] user="), F.col("user_id").cast("string"), F.lit(' msg="a \\"b\\" '), "event_type", F.lit('" user='), (F.col("user_id") + 1).cast("string"), F.lit(" =x y"),
+    )
 
 
 def _logs(spark, sf_dir):
-    return tables.from_table(table(spark, sf_dir, "events").withColumn("_line", _LOG), "event_id", "_line", kind="text")
+    return tables.from_table(table(spark, sf_dir, "events").withColumn("_line", _log()), "event_id", "_line", kind="text")
 
 
 def _log_map(spark, sf_dir):
@@ -600,7 +601,7 @@ def log_timestamp(spark, sf_dir):
 
 @query("""SELECT event_id::VARCHAR AS id, 'log' AS kind, event_type AS level, user_id::VARCHAR AS who, (user_id + 1)::VARCHAR AS user FROM events""")
 def log_enrich_wins(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").withColumn("_line", _LOG)
+    raw = table(spark, sf_dir, "events").withColumn("_line", _log())
     own = F.parse_json(F.concat(F.lit('{"level":"'), "event_type", F.lit('","who":'), F.col("user_id").cast("string"), F.lit("}")))
     done = logfields.with_log_fields(tables.from_table(raw, "event_id", "_line", own, kind="text"))
     get = lambda p: F.try_variant_get("fields", f"$.{p}", "string").alias(p)
