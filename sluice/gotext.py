@@ -60,12 +60,12 @@ def _scientific(digits: str, exponent: int, width: int) -> str:
 
 
 def number(x: float) -> str:
-    """Shortest form; an exponent below 1e-4 and from 1e21 on."""
+    """Shortest form; an exponent below 1e-4 and from 1e6 on."""
     if s := _special(x):
         return s
     digits, exponent = _digits(x)
     sign = "-" if math.copysign(1, x) < 0 else ""
-    return sign + (_scientific(digits, exponent, 2) if exponent < -4 or exponent >= 21 else _fixed(digits, exponent))
+    return sign + (_scientific(digits, exponent, 2) if exponent < -4 or exponent >= 6 else _fixed(digits, exponent))
 
 
 def plain(x: float) -> str:

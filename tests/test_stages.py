@@ -45,7 +45,9 @@ def test_number_texts_read_back(x):
 
 
 def test_number_texts():
-    assert [gotext.number(x) for x in (500, 0.7, 1e21, 1e20, 1e-5, 0.0001, -0.0)] == ["500", "0.7", "1e+21", "100000000000000000000", "1e-05", "0.0001", "-0"]
+    assert [gotext.number(x) for x in (500, 0.7, 1e21, 1e6, 123456.0, 1234567.5, 1e-5, 0.0001, -0.0)] == [
+        "500", "0.7", "1e+21", "1e+06", "123456", "1.2345675e+06", "1e-05", "0.0001", "-0",
+    ]
     assert [gotext.json_number(x) for x in (1.0, 0.0, -0.0, 1e-7, 1e21, 0.000001, 123.25)] == ["1", "0", "-0", "1e-7", "1e+21", "0.000001", "123.25"]
     assert gotext.plain(1234567.0) == "1234567" and gotext.number(math.inf) == "+Inf"
     assert gotext.quote('a"\\\n\x01' + chr(0xE9)) == '"a\\"\\\\\\n\\x01' + chr(0xE9) + '"'
