@@ -251,8 +251,12 @@ class Items:
             if matched < least * self.windows[i]:
                 continue
             pairs = {(q + k, p + k) for p, q, _ in own for k in range(self.lengths[i]) if self.tokens[i][q + k] in (NUMBER, UNIT, NAME)}
+            # a name at an end of the place may have run together with one beside it, so it says nothing of consistency
+            ends = {min(p for p, _, _ in own), max(p + self.lengths[i] - 1 for p, _, _ in own)}
             maps: dict[tuple[str, str], set[str]] = {}
             for a, b in pairs:
+                if self.tokens[i][a] == NAME and b in ends:
+                    continue
                 maps.setdefault((self.tokens[i][a], self.values[i][a]), set()).add(values[b])
             if any(len(v) > 1 for v in maps.values()):
                 continue

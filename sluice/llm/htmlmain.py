@@ -298,7 +298,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
 
     def paragraphs() -> str:
         out = ""
-        for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12])):
             kind = rng.random()
             if kind < 0.7:
                 out += f"<p>{text(1, 1, 60)}</p>" if rng.random() < 0.85 else f"<p><b>{text(1, 1, 10)}<br><p>{text(1, 1, 40)}</p>"
@@ -326,9 +326,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         open_ = rng.choice(["<article>", "<article>", "<main>", named("div", *names), named("article", *names), "<main><article>", "<main>" + named("div", *names), ""])
         return open_ + body + "".join(f"</{x}>" for x in re.findall(r"<(\w+)", open_)[::-1])
 
-    order = [rng.choice([head, menu, menu, advert, notice, sidebar, form]) for _ in range(rng.randint(1, 4))] + [article]
+    order = [rng.choice([head, menu, menu, advert, notice, sidebar, form]) for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 4]))] + [article]
     order += [rng.choice([comments, comments, sidebar, advert, form, menu]) for _ in range(rng.randint(0, 3))]
-    order += [foot] if rng.random() < 0.9 else []
+    order += [foot] if rng.random() < 0.8 else []
     body = "".join(part() for part in order)
     if rng.random() < 0.3:
         body = "<div>" + body + "</div>"
