@@ -2,9 +2,8 @@
 
 Rows are put in order of their key and encoded; every run of texts becomes one shard file. In a
 shard, frequent pairs of neighbouring ids are replaced by nonterminals again and again: in each
-round all pairs that occur at least ``MIN_COUNT`` times are ranked by count, a pair gives way where it
-overlaps a more frequent one, and the sequence that results goes through the next round. The file holds
-the rules, the length of each rule's expansion, the sequence and the number of ids of each text, so
+round the most frequent pairs that occur at least ``MIN_COUNT`` times give way to nonterminals, from
+the left where they overlap, and the sequence that results goes through the next round. The file holds the rules, the length of each rule's expansion, the sequence and the number of ids of each text, so
 that any range of ids is decoded by expanding only the symbols that cover it. Pairs that begin with the end
 id are never replaced.
 
@@ -46,7 +45,7 @@ def _frequent(codes: np.ndarray, most: int) -> np.ndarray:
 
 
 def _replace(seq: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
-    """Every occurrence of a pair becomes its nonterminal, from the left and the more frequent first."""
+    """Every occurrence of a pair becomes its nonterminal, from the left where occurrences overlap."""
     codes = (seq[:-1] << np.uint32(16)) | seq[1:]
     filter_ = np.zeros(1 << 16, bool)
     slot = lambda c: (c * np.uint32(0x9E3779B1)) >> np.uint32(16)
@@ -57,20 +56,11 @@ def _replace(seq: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
     found[found == len(pairs)] = 0
     hit = pairs[order][found] == codes[at]
     at, rank = at[hit], order[found[hit]]
-    while True:
-        near = np.flatnonzero(np.diff(at) == 1)
-        if not len(near):
-            break
-        lose = np.zeros(len(at), bool)
-        left_wins = rank[near] <= rank[near + 1]
-        lose[near[~left_wins]] = True
-        lose[near[left_wins] + 1] = True
-        # a winner that itself loses to its other neighbour takes nobody with it
-        safe = np.zeros(len(at), bool)
-        safe[near[left_wins] + 1] = ~lose[near[left_wins]]
-        safe[near[~left_wins]] |= ~lose[near[~left_wins] + 1]
-        drop = lose & safe
-        at, rank = at[~drop], rank[~drop]
+    # of occurrences that overlap in a row, every other one counts from the left
+    index = np.arange(len(at))
+    first = np.concatenate([[True], np.diff(at) != 1])[: len(at)]
+    keep = (index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0
+    at, rank = at[keep], rank[keep]
     out = seq.copy()
     out[at] = base + rank
     keep = np.ones(len(seq), bool)
