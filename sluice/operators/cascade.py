@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import gotext
-from ..model import DECISION, ERROR, OUTCOME
+from ..model import DECISION, ERROR, LINE, OUTCOME
+from ..sources.tables import from_memory
 from .stages import ColumnStage, Env, Gate, Gated, Named, RowStage, well_formed
 
 _ARROW_DECISION = pa.struct(
@@ -49,6 +50,7 @@ class Cascade:
                 raise ValueError(f"duplicate stage name {gotext.quote(s.name)}")
             seen.add(s.name)
         self.stages, self.gate, self.env = list(stages), Gate(min_confidence), env or Env()
+        self._held: list[DataFrame] = []
 
     def _least(self, gates: list[float]) -> float:
         return max([self.gate.least, *gates])
@@ -95,9 +97,28 @@ class Cascade:
                 out = out.withColumns({"decision": F.when(open_, own).otherwise(F.col("decision")), "error": F.when(open_, error).otherwise(F.col("error"))})
                 continue
             out = out.persist(StorageLevel.MEMORY_AND_DISK)
+            self._held.append(out)
             out = out.where(~open_).unionByName(self._rows(out.where(open_), stage.name, inner, gates))
         return out
 
+    def release(self) -> None:
+        """Drop the frames that were persisted before row stages, once results are written."""
+        while self._held:
+            self._held.pop().unpersist()
+
+    def classify_batch(self, spark: SparkSession, records: Sequence[dict], workers: int = 1) -> list[tuple[dict | None, str | None]]:
+        """(decision, error message) of each record, in order; a record that fails does not stop the others.
+
+        For lists that fit the driver. ``workers`` is the number of partitions; results are the same for any.
+        """
+        df = from_memory(spark, records)
+        if workers > 1 and len(records) > 1:
+            df = df.repartition(min(workers, len(records)))
+        rows = self.classify(df).select(LINE, "decision", "error").collect()
+        self.release()
+        rows.sort(key=lambda r: r[LINE])
+        return [(r["decision"] and r["decision"].asDict(True), r["error"] and r["error"]["message"]) for r in rows]
+
     def _rows(self, df: DataFrame, name: str, stage: RowStage, gates: list[float]) -> DataFrame:
         has = [c for c in ("id", "kind", "meta") if c in df.columns]
         args = [F.col(c) for c in has] + [F.col(self.env.data).alias("data")]

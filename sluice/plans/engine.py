@@ -7,6 +7,7 @@ not; the statistics count that prefix, the failing record among the processed on
 from __future__ import annotations
 
 import logging
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -65,10 +66,15 @@ class Engine:
         if workers < 0:
             raise ValueError("engine: workers must not be negative")
         self.source, self.cascade, self.sink, self.review, self.logger = source, cascade, sink, review, logger or log
-        self.stats = Stats()
+        self.stats, self._group = Stats(), f"sluice-{uuid.uuid4().hex}"
+
+    def cancel(self) -> None:
+        """Stop a run from another thread: its jobs end, and ``run`` raises."""
+        self.source.sparkSession.sparkContext.cancelJobGroup(self._group)
 
     def run(self) -> Stats:
         """The statistics; also in ``stats`` when an error is raised."""
+        self.source.sparkSession.sparkContext.setJobGroup(self._group, "cascade run", interruptOnCancel=True)
         df = self.cascade.classify(self.source)
         wrong = F.coalesce("source_error", "error") if "source_error" in df.columns else F.col("error")
         df = df.withColumn("_wrong", wrong).persist(StorageLevel.MEMORY_AND_DISK)
@@ -76,6 +82,7 @@ class Engine:
             return self._run(df)
         finally:
             df.unpersist()
+            self.cascade.release()
 
     def _run(self, df: DataFrame) -> Stats:
         place = F.struct(INPUT, LINE) if INPUT in df.columns else F.struct("id")

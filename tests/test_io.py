@@ -177,3 +177,21 @@ def test_wordpiece(spark):
     df = spark.createDataFrame([("hello world",), (None,)], "t string")
     rows = encode_column(df, t, "t").collect()
     assert rows[0]["encoding"]["mask"] == [1, 1, 1, 1] and rows[0]["encoding"]["type_ids"] == [0] * 4 and rows[1]["encoding"] is None
+
+
+def test_a_run_can_be_cancelled(spark):
+    import threading
+    import time
+
+    def slow(rows):
+        time.sleep(20)
+        return [None] * len(rows)
+
+    engine = Engine(memory(spark, "a"), Cascade([RowStage("slow", slow)]), Memory())
+    timer = threading.Timer(4, engine.cancel)
+    timer.start()
+    began = time.time()
+    with pytest.raises(Exception, match="(?i)cancel"):
+        engine.run()
+    timer.join()
+    assert time.time() - began < 18

@@ -225,3 +225,12 @@ def test_partitions_do_not_matter(spark, n):
     df = records(spark, *(f"line {i}" for i in range(n)))
     cascade = Cascade([RulesStage([Rule("seven", contains=["7"])]), MockStage([MockMatcher(["3"], "three", 0.5)])])
     assert categories(cascade.classify(df.repartition(5))) == categories(cascade.classify(df.coalesce(1)))
+
+
+def test_batches_keep_order_and_errors(spark):
+    stage = RowStage("m", lambda rows: [RuntimeError("no") if b"3" in r["data"] else ("c", 0.5) if b"1" in r["data"] else None for r in rows])
+    rows = [{"id": str(i), "data": str(i)} for i in range(30)]
+    one, many = (Cascade([stage]).classify_batch(spark, rows, n) for n in (1, 8))
+    assert one == many and len(one) == 30
+    assert [d and d["category"] for d, _ in one[:4]] == [None, "c", None, None] and one[3][1] == "stage m: no"
+    assert Cascade([stage]).classify_batch(spark, []) == []
