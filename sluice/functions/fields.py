@@ -1,7 +1,7 @@
 """Typed access to a record's fields as Columns.
 
 ``VariantFields`` reads the variant column and stays inside the JVM; it knows numbers by value,
-so ``1.10`` reads as ``1.1``. ``ExactFields`` reads what ``with_exact_fields`` took from the raw JSON of
+so ``1.10`` reads as ``1.1``. ``ColumnFields`` reads typed columns. ``ExactFields`` reads what ``with_exact_fields`` took from the raw JSON of
 each record, with the text of numbers as it was written.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import gotext
 from . import paths
@@ -69,6 +70,57 @@ class VariantFields:
         return F.when(F.abs(value) < float("inf"), value)
 
 
+class ColumnFields:
+    """Access to typed columns and nested structs of a table, without a variant: comparisons stay plain columns,
+    which Spark compiles and can push into scans. A null is an absent field.
+    """
+
+    def __init__(self, schema: T.StructType):
+        self.schema = schema
+
+    def structured(self) -> Column:
+        return F.lit(True)
+
+    def _find(self, path: str) -> tuple[Column | None, T.DataType | None]:
+        keys, at, column = paths.split(path), self.schema, None
+        for key in keys:
+            if not isinstance(at, T.StructType) or key not in at.names:
+                return None, None
+            column = F.col(f"`{key.replace('`', '``')}`") if column is None else column.getField(key)
+            at = at[key].dataType
+        return column, at
+
+    def present(self, path: str) -> Column:
+        column, _ = self._find(path)
+        return F.lit(False) if column is None else column.isNotNull()
+
+    @staticmethod
+    def _kind(of: T.DataType | None) -> str:
+        if isinstance(of, T.StringType | T.CharType | T.VarcharType):
+            return STRING
+        return BOOL if isinstance(of, T.BooleanType) else NUMBER if isinstance(of, T.NumericType) else OTHER
+
+    def kind(self, path: str) -> Column:
+        column, of = self._find(path)
+        return F.lit(None).cast("string") if column is None else F.when(column.isNotNull(), self._kind(of))
+
+    def text(self, path: str) -> Column:
+        column, of = self._find(path)
+        if column is None or self._kind(of) == OTHER:
+            return F.lit(None).cast("string")
+        if isinstance(of, T.DoubleType | T.FloatType):
+            whole = (F.abs(column) < 1e15) & (column == F.floor(column))
+            return F.when(whole, column.cast("long").cast("string")).otherwise(column.cast("string"))
+        return column.cast("string")
+
+    def number(self, path: str) -> Column:
+        column, of = self._find(path)
+        if column is None or self._kind(of) != NUMBER:
+            return F.lit(None).cast("double")
+        value = column.cast("double")
+        return F.when(F.abs(value) < float("inf"), value) if isinstance(of, T.DoubleType | T.FloatType) else value
+
+
 class ExactFields:
     """Access to the column of ``with_exact_fields``: map of path to (kind, text)."""
 

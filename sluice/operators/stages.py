@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import gotext
-from ..functions.fields import VariantFields
+from ..functions.fields import ColumnFields, ExactFields, VariantFields
 from ..model import DECISION
 
 Reasons = list[tuple[str, str]]
@@ -21,7 +21,7 @@ class Env:
     """The columns that stages read."""
 
     data: str = "data"
-    fields: VariantFields = VariantFields()
+    fields: VariantFields | ColumnFields | ExactFields = VariantFields()
 
     def text(self) -> Column:
         """The payload as a string with the same bytes."""

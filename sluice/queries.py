@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import logfields
-from .functions.fields import ExactFields, with_exact_fields
+from .functions.fields import ColumnFields, ExactFields, with_exact_fields
 from .functions.wire import wire_line
 from .functions.wordpiece import WordPiece, encode_column
 from .operators.cascade import Cascade
@@ -648,14 +648,12 @@ def wordpiece_cjk_accents(spark, sf_dir):
   CASE WHEN l_returnflag = 'R' OR (l_discount >= 0.05 AND l_quantity < 24) THEN 'rules' WHEN l_shipdate < TIMESTAMP '1995-01-01' THEN 'age' END AS stage FROM lineitem) GROUP BY ALL""")
 def lineitem_cascade(spark, sf_dir):
     """Counts by category and stage of a cascade over typed columns as fields."""
-    raw = table(spark, sf_dir, "lineitem")
-    fields = F.parse_json(F.to_json(F.struct("l_returnflag", "l_discount", "l_quantity")))
-    df = tables.from_table(raw, "l_orderkey", F.date_format("l_shipdate", "yyyy-MM-dd"), fields)
+    df = table(spark, sf_dir, "lineitem").withColumn("data", F.date_format("l_shipdate", "yyyy-MM-dd"))
     rules = [
         Rule("returned", fields=[FieldMatcher("l_returnflag", exact="R")]),
         Rule("promo", all=[Matcher(field=FieldMatcher("l_discount", gte=0.05)), Matcher(field=FieldMatcher("l_quantity", lt=24.0))]),
     ]
     age = with_name(RulesStage([Rule("old", regex=["^199[0-4]|^198"])]), "age")
     d = F.col("decision")
-    done = Cascade([RulesStage(rules), age]).classify(df)
+    done = Cascade([RulesStage(rules), age], env=Env(fields=ColumnFields(df.schema))).classify(df)
     return done.groupBy(d["category"].alias("category"), d["stage"].alias("stage")).agg(F.count(F.lit(1)).alias("n"))

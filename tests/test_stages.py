@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice import gotext
 from sluice.functions import paths
-from sluice.functions.fields import ExactFields, with_exact_fields
+from sluice.functions.fields import ColumnFields, ExactFields, with_exact_fields
 from sluice.functions.regex import PatternError, compile_pattern
 from sluice.operators.cascade import Cascade
 from sluice.operators.mock import MockMatcher, MockStage, Outcome
@@ -234,3 +234,23 @@ def test_batches_keep_order_and_errors(spark):
     assert one == many and len(one) == 30
     assert [d and d["category"] for d, _ in one[:4]] == [None, "c", None, None] and one[3][1] == "stage m: no"
     assert Cascade([stage]).classify_batch(spark, []) == []
+
+
+def test_typed_columns_read_like_variants(spark):
+    rows = [(1, 1.5, "x", True, (7, None)), (None, 2.0, None, None, None), (500, float("inf"), "404", False, (0, "q"))]
+    df = spark.createDataFrame(rows, "n int, v double, s string, b boolean, o struct<k:long,t:string>")
+    rules = [Rule(f"r{i}", fields=[m]) for i, m in enumerate([
+        FieldMatcher("n", exact="500"), FieldMatcher("v", exact="2"), FieldMatcher("b", exact="true"), FieldMatcher("o.k", gte=7.0), FieldMatcher("/o/t", contains="q"),
+        FieldMatcher("s", gt=1.0), FieldMatcher("v", gt=1e300), FieldMatcher("o", exact="x"), FieldMatcher("n", exists=False), FieldMatcher("z", exists=True), FieldMatcher("o.k.x", exists=True),
+        FieldMatcher("s", regex="^4"),
+    ])]
+    want = {"r0": [2], "r1": [1], "r2": [0], "r3": [0], "r4": [2], "r5": [], "r6": [], "r7": [], "r8": [1], "r9": [], "r10": [], "r11": [2]}
+    df = df.withColumn("data", F.lit(b"")).coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    for r in rules:
+        done = Cascade([RulesStage([r])], env=Env(fields=ColumnFields(df.schema))).classify(df)
+        assert [x["i"] for x in done.where("decision is not null").orderBy("i").collect()] == want[r.category], r
+    schema = SchemaStage("bad", [Field("n", True, "number"), Field("s", False, "number"), Field("o.k", True, "number")])
+    done = Cascade([schema], env=Env(fields=ColumnFields(df.schema))).classify(df).orderBy("i").collect()
+    assert [[x["detail"] for x in r["decision"]["reasons"]] for r in done] == [
+        ["field s is not a number"], ["required field n is missing", "required field o.k is missing"], ["field s is not a number"],
+    ]
