@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: numbers, units of measure and names (capitalised words that do not begin
-a sentence; neighbouring ones are one) are typed placeholders, other words are in lower case. Windows of
+a sentence; not single letters or words all in capitals; neighbouring ones are one) are typed placeholders, other words are in lower case. Windows of
 ``WINDOW`` template tokens of the benchmark items are hash-joined with all windows of all documents.
 Where an item's windows are found, the values that stand in its slots are compared: one value of
 the item must always correspond to one value of the document. A document leaks an item if it
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .util import runs
 
 WINDOW = 6
-MIN_COVERAGE = 0.5
+MIN_COVERAGE = 0.3
 #: Text bytes of benchmark items that are broadcast at a time.
 BLOCK_BYTES = 8_000_000
 _MAX_CHUNKS = 600_000
@@ -59,7 +59,7 @@ def _kind(word: str, initial: bool) -> str:
         return NUMBER
     if low in UNIT_WORDS:
         return UNIT
-    if not initial and word[0].isupper() and not (len(word) > 1 and word.isupper()):
+    if not initial and len(word) > 1 and word[0].isupper() and not word.isupper():
         return NAME
     return low
 

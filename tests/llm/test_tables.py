@@ -116,9 +116,8 @@ def test_prefix_bounds_lose_no_link(words):
             both = len(a & b)
             if 100 * both < percent * (len(a) + len(b) - both):
                 continue
-            cut = lambda s: set(sorted(s)[: len(s) - jaccard.least_overlap(len(s), percent) + jaccard.extra(len(s))])  # noqa: B023, E731
-            need = max(1, -(-jaccard.least_overlap(len(a), percent) // 20))
-            assert len(cut(a) & cut(b)) >= min(need, jaccard.extra(len(b)), jaccard.extra(len(a)))
+            cut = lambda s: set(sorted(s)[: len(s) - jaccard.least_overlap(len(s), percent) + jaccard.extra(len(s), percent)])  # noqa: B023, E731
+            need = max(1, -(-jaccard.least_overlap(len(a), percent) // jaccard.share(percent)))
             assert len(cut(a) & cut(b)) >= need
 
 
@@ -132,7 +131,10 @@ def test_template_leaks():
     assert kinds(f"Some words before. {QUESTION}\nand after") == [(1, "verbatim")]
     assert kinds(f"x {other} y") == [(1, "reparameterised")]
     assert kinds(QUESTION.replace("Mary has 3", "Mary has 9")) == []  # 3 stands for two numbers
-    assert kinds(QUESTION.upper()) == [] or kinds(QUESTION.upper())[0][0] == 1
+    plain = "the cat sat on a mat near the old red door of a small house by the sea"
+    words = decontam.Items([(9, plain)])
+    edited = plain.replace("red", "blue")
+    assert [x[0] for t in (plain.upper(), edited, f"So {plain.capitalize()} then") for x in words.leaks(t)] == [9, 9, 9]
     assert kinds("If Mary has 3 apples then all is well") == []
     assert kinds("") == [] and kinds("5 6 7") == []
 
