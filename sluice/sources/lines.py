@@ -24,22 +24,22 @@ _BLANK = r"^[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, _line) of a file: bytes between line feeds without one trailing carriage return, numbers from 1.
 
-    Lines are numbered within each block that Spark reads, and a block's first number comes from
-    the counts of the blocks before it; no partition sees the whole file.
+    Spark numbers the rows of each partition as it reads them. A line's number is its distance
+    from the first row of its block plus the lines of the blocks before, which one small
+    aggregate counts; the lines themselves are not shuffled or sorted.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     raw = raw.select(
-        F.regexp_replace("value", r"\r\z", "").alias("line"),
+        F.when(F.col("value").endswith("\r"), F.expr("cast(substring(cast(value as binary), 1, octet_length(value) - 1) as string)")).otherwise(F.col("value")).alias("line"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    counts = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
-    out = raw.withColumn("_own", own).join(starts, ["_file", "_block"])
-    return out.select("line", (F.col("_start") + F.col("_own")).cast("long").alias("_line"))
+    starts = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = raw.join(starts, ["_file", "_block"])
+    return out.select("line", (F.col("_at") + F.col("_shift") + 1).cast("long").alias("_line"))
 
 
 def _source_error(message: Column) -> Column:
