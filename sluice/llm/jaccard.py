@@ -39,16 +39,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import discard, runs, saved, scratch
+from .util import claim, discard, runs, saved, scratch, transient
 
 #: Keys that are sent to all executors at most; beyond it, a shuffle finds the rows.
 BROADCAST_KEYS = 2_000_000
-_MAX_WORDS = 1_000_000
+_MAX_WORDS = 600_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
 _hashes: dict[bytes, int] = {}
 
 
+def clear_hashes() -> None:
+    _hashes.clear()
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_hashes) > _MAX_WORDS:
         _hashes.clear()
@@ -92,8 +96,13 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def extra(n: int) -> int:
-    return max(1, -(-n // 20))
+def share(percent: int) -> int:
+    """One part in this many of a row is demanded of its first n-grams: fewer where the threshold leaves long prefixes anyway."""
+    return 10 if percent >= 85 else 20
+
+
+def extra(n: int, percent: int) -> int:
+    return max(1, -(-n // share(percent)))
 
 
 def _arrays(values: list[np.ndarray]) -> pa.ListArray:
@@ -106,6 +115,7 @@ def _sets(df: DataFrame, key: str, text: str, k: int, keep: Callable[[np.ndarray
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", clear_hashes)
         for b in batches:
             texts = b.column(1).to_pylist()
             for low, high in runs(texts):
@@ -154,24 +164,25 @@ class _Join:
         return saved(counted.where(self.bounded("both")).select("a", "b"), "links")
 
 
-def _postings(full: DataFrame, percent: int) -> DataFrame:
-    """(h, nid, n, shared, rest) of the columns to multiply: rare ones of each row that can link."""
+def _rare_columns(full: DataFrame, percent: int) -> DataFrame:
+    """(nid, n, shared, rest, cols) of each row that can link: cols are the columns to multiply, the rare ones."""
     cells = full.select("nid", F.explode("grams").alias("h"))
-    frequency = cells.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    frequency = saved(cells.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "frequency")
     shared = cells.join(frequency, "h").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("cols"))
     rows = full.select("nid", "n").join(shared, "nid").withColumn("shared", F.size("cols").cast("long"))
     rows = rows.withColumn("take", F.expr(f"int((n - (({percent} * n + 99) div 100) + 1) - (n - shared))")).where("take > 0")
     rows = rows.withColumn("take", F.least("take", "shared").cast("int"))
-    rows = rows.withColumn("rest", F.col("shared") - F.col("take")).withColumn("cell", F.explode(F.slice("cols", F.lit(1), F.col("take"))))
-    return saved(rows.select(F.col("cell.h").alias("h"), "nid", "n", "shared", "rest"), "postings")
+    rows = rows.withColumn("rest", F.col("shared") - F.col("take")).withColumn("cols", F.slice("cols.h", F.lit(1), F.greatest("take", F.lit(0))))
+    return saved(rows.select("nid", "n", "shared", "rest", "cols"), "rows")
 
 
 def _links(full: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the rows of ``full`` that have a link."""
     join = _Join(percent, full)
-    posts = _postings(full, percent)
+    rows = _rare_columns(full, percent)
     _free(full)
-    best = posts.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("u"), "nid", "n", "shared")).alias("c"))
+    posts = rows.select(F.explode("cols").alias("h"), "nid", "n", "shared")
+    best = saved(posts.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("u"), "nid", "n", "shared")).alias("c")), "centres")
     star = posts.join(best, "h").select(
         F.col("nid").alias("a"), "n", "shared", F.col("c.nid").alias("b"), F.col("c.n").alias("n2"), F.col("c.shared").alias("shared2")
     )
@@ -180,21 +191,25 @@ def _links(full: DataFrame, percent: int) -> DataFrame:
     labels = components(links)
     _free(full)
 
-    own = posts.join(labels.select(F.col("node").alias("nid"), "component"), "nid", "left")
-    own = saved(own.withColumn("component", F.coalesce("component", "nid")), "postings")
+    # (nid, component) of all rows; those without a link yet are components of their own
+    own = rows.select("nid", "cols").join(labels.select(F.col("node").alias("nid"), "component"), "nid", "left")
+    own = saved(own.select("nid", F.coalesce("component", "nid").alias("component"), F.explode("cols").alias("h")), "postings")
     held = own.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = held.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = saved(own.join(mixed.select("h", "major"), "h"), "postings")
-    one = open_.where("component != major").select("h", F.col("nid").alias("a"), "n", "shared", "rest", F.col("component").alias("ca"))
+    mixed = saved(mixed.select("h", "major"), "mixed")
+    open_ = saved(own.join(mixed, "h").join(rows, "nid"), "postings")
+    one = open_.where("component != major").select("h", F.col("nid").alias("a"), "n", "shared", "rest", "cols", F.col("component").alias("ca"))
     two = open_.select(
         "h", F.col("nid").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("shared2"),
-        F.col("rest").alias("rest2"), F.col("component").alias("cb"), "major",
+        F.col("rest").alias("rest2"), F.col("cols").alias("cols2"), F.col("component").alias("cb"), "major",
     )
-    cells = one.join(two, "h").where("ca != cb and (cb = major or a < b)").where(join.bounded("least(shared, shared2)"))
-    product = cells.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count(F.lit(1)).alias("overlap"), F.min(F.least("rest", "rest2")).alias("more"), F.min("n").alias("n"), F.min("n2").alias("n2")
-    )
-    more = join.verified(product.where(join.bounded("overlap + more")).select("a", "b"))
+    # each pair is formed in the first column that both rows hold, with its overlap count over all columns that are multiplied
+    common = F.array_intersect("cols", "cols2")
+    fits = F.expr("ca != cb and (cb = major or a < b)") & F.expr(join.bounded("least(shared, shared2)"))
+    reach = "size(array_intersect(cols, cols2)) + least(rest, rest2)"
+    fits = fits & (F.element_at(common, 1) == F.col("h")) & F.expr(join.bounded(reach))
+    pairs = one.join(two.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & fits)
+    more = join.verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if more.limit(1).count():
         labels = components(links.union(more))
     return labels
@@ -203,32 +218,38 @@ def _links(full: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row, for links of at least ``percent`` per cent Jaccard."""
     spark = df.sparkSession
-    at = scratch(spark, "jaccard-rows")
-    wide = saved(_sets(df, key, text, k, lambda s: s[: len(s) - least_overlap(len(s), percent) + extra(len(s))]), at=at)
-    base = saved(wide.select(key, "n", "set"), "jaccard-sizes")
-    reps = wide.where("n > 0").groupBy("set").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams"))
-    cells = reps.select(F.xxhash64("set").alias("v"), F.explode("grams").alias("h"))
-    frequent = cells.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h")
-    found = cells.join(frequent, "h", "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    need = f"greatest(1, (({percent} * n + 99) div 100 + 19) div 20)"
-    distinct = saved(base.where("n > 0").groupBy("set").agg(F.min(key).alias("rep"), F.first("n").alias("n")), "jaccard-sets")
-    left = distinct.join(found, F.xxhash64("set") == F.col("v")).where(f"c >= {need}")
-    left = saved(left.select("set", "rep", "n"), "jaccard-left")
-    del reps, cells, frequent, found
-    discard(spark, at)
-    _free(df)
-
-    picked = left.select(F.col("rep").alias("_rep")).distinct()
-    picked = F.broadcast(picked) if left.count() <= BROADCAST_KEYS else picked
-    rows = df.select(key, text).join(picked, F.col(key).eqNullSafe(F.col("_rep")), "left_semi")
-    sets = _sets(rows, key, text, k, lambda s: s).join(left.select("set"), "set", "left_semi")
-    full = sets.groupBy("set").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    full = saved(full.withColumn("nid", F.monotonically_increasing_id()), "jaccard-full")
-    labels = _links(full, percent)
-    of = full.select("set", F.col("nid").alias("node")).join(labels, "node").join(distinct.select("set", "rep"), "set")
-    least = of.groupBy("component").agg(F.min("rep").alias("_least"))
-    joined = of.join(least, "component").select("set", "_least")
-    names = distinct.join(joined, "set", "left").select("set", F.coalesce("_least", "rep").alias("component_id"))
+    with transient(spark):
+        at = scratch(spark, "jaccard-rows")
+        wide = saved(_sets(df, key, text, k, lambda s: s[: len(s) - least_overlap(len(s), percent) + extra(len(s), percent)]), at=at)
+        base = saved(wide.select(key, "n", "set"), "jaccard-sizes", keep=True)
+        reps = wide.where("n > 0").groupBy("set").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+        at_reps = scratch(spark, "jaccard-reps")
+        reps = saved(reps.withColumn("row", F.monotonically_increasing_id()), at=at_reps)
+        discard(spark, at)
+        _free(df)
+        distinct = saved(reps.select("set", "rep", "n", "row"), "jaccard-sets")
+        cells = reps.select("row", F.explode("grams").alias("h"))
+        # saved, so that the join below has plain exchanges on both sides and Spark can split a frequent n-gram's rows
+        frequent = saved(cells.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"), "jaccard-frequent")
+        _free(df)
+        found = cells.join(frequent, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("c"))
+        need = f"greatest(1, (({percent} * n + 99) div 100 + {share(percent) - 1}) div {share(percent)})"
+        left = saved(distinct.join(found, "row").where(f"c >= {need}").select("set", "rep", "n"), "jaccard-left")
+        del reps, cells, frequent, found
+        discard(spark, at_reps)
+        _free(df)
+
+        picked = left.select(F.col("rep").alias("_rep")).distinct()
+        picked = F.broadcast(picked) if left.count() <= BROADCAST_KEYS else picked
+        rows = df.select(key, text).join(picked, F.col(key).eqNullSafe(F.col("_rep")), "left_semi")
+        sets = _sets(rows, key, text, k, lambda s: s).join(left.select("set"), "set", "left_semi")
+        full = sets.groupBy("set").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+        full = saved(full.withColumn("nid", F.monotonically_increasing_id()), "jaccard-full")
+        labels = _links(full, percent)
+        of = full.select("set", F.col("nid").alias("node")).join(labels, "node").join(distinct.select("set", "rep"), "set")
+        least = of.groupBy("component").agg(F.min("rep").alias("_least"))
+        joined = of.join(least, "component").select("set", "_least")
+        names = saved(distinct.join(joined, "set", "left").select("set", F.coalesce("_least", "rep").alias("component_id")), "jaccard-names", keep=True)
     out = base.join(names, "set", "left").withColumn("component_id", F.coalesce("component_id", key))
     return out.select(key, F.col("n").alias("n_shingles"), "component_id")
 

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_claimed: list = ["", None]
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Say in a Python worker that ``owner`` works now: a worker serves many stages, and the caches of the last owner would stay beside the new ones."""
+    if _claimed[0] != owner:
+        if _claimed[1]:
+            _claimed[1]()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        _claimed[:] = [owner, clear]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,10 +63,26 @@ def runs(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, in
         yield low, len(texts)
 
 
-def saved(df: DataFrame, tag: str = "", at: str = "") -> DataFrame:
+_transient: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def transient(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end, but for those saved with ``keep``."""
+    _transient.append([])
+    try:
+        yield
+    finally:
+        for path in _transient.pop():
+            discard(spark, path)
+
+
+def saved(df: DataFrame, tag: str = "", at: str = "", keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
     path = at or scratch(spark, tag)
+    if _transient and not keep:
+        _transient[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
