@@ -165,7 +165,8 @@ def write_shards(df: DataFrame, file: str, end: int = END, key: str = "doc_id",
                 shard += 1
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select(key, text).repartitionByRange(n, key).sortWithinPartitions(key)
+    # the second column parts rows of one key; their order among themselves is free
+    ordered = df.select(key, text).repartitionByRange(n, key, F.xxhash64(text)).sortWithinPartitions(key)
     return saved(ordered.mapInArrow(run, f"part long, shard long, keys array<{kind}>, n_ids long, data binary"), "repair-shards")
 
 
