@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import runs
+from .util import claim, runs
 
 WINDOW = 6
 MIN_COVERAGE = 0.3
@@ -269,6 +269,10 @@ class Items:
 _hashes = TemplateHashes()
 
 
+def clear_hashes() -> None:
+    _hashes._clear()
+
+
 def _worker_hashes() -> TemplateHashes:
     return _hashes
 
@@ -293,6 +297,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         sent = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            claim("decontam", clear_hashes)
             items = sent.value
             for b in batches:
                 texts, rows, found = b.column(1).to_pylist(), [], []
@@ -317,6 +322,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         place = df.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, place=place) -> Iterator[pa.RecordBatch]:
+            claim("decontam", clear_hashes)
             items = sent.value
             for b in batches:
                 texts = b.column(place).to_pylist()

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import claim
+
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -113,6 +115,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
     """Fit on every row that has a label and a letter in its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         pending: dict[str, list[np.ndarray]] = {}
@@ -161,6 +164,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         for b in batches:
             names, probs = sent.value.score(b.column(b.num_columns - 1).to_pylist())
             cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(probs, pa.float64())]
@@ -174,6 +178,7 @@ def known(df: DataFrame, model: Model, min_score: float, text: str = "text") ->
     sent, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         for b in batches:
             names, probs = sent.value.score(b.column(place).to_pylist())
             yield b.filter(pa.array([n != UNKNOWN and p >= min_score for n, p in zip(names, probs, strict=True)], pa.bool_()))

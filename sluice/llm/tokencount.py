@@ -16,6 +16,8 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .util import claim
+
 SPACE = "▁"
 #: Entries in a worker's cache of chunks; at that size it starts anew.
 CACHE = 400_000
@@ -118,6 +120,10 @@ class MergeCounter:
 _counters: dict[str, MergeCounter] = {}
 
 
+def clear_counters() -> None:
+    _counters.clear()
+
+
 def counter(model_file: str) -> MergeCounter:
     if model_file not in _counters:
         _counters[model_file] = MergeCounter(model_file)
@@ -129,6 +135,7 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, key: str = "
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokencount", clear_counters)
         count = counter(model_file).count
         for b in batches:
             texts = b.column(1).to_pylist()

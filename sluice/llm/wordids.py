@@ -14,6 +14,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from .util import claim
+
 #: Distinct chunks and pooled ids of a worker; beyond either the pool starts anew.
 MAX_CHUNKS, MAX_IDS = 1_200_000, 8_000_000
 _JOINED = 2048
@@ -134,6 +136,8 @@ _made: dict[str, WordIds] = {}
 
 
 def word_ids(file: str) -> WordIds:
+    """The worker's own encoder for a file."""
+    claim("wordids", _made.clear)
     if file not in _made:
         _made[file] = WordIds(file)
     return _made[file]
