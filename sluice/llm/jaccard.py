@@ -14,7 +14,8 @@ still reach the threshold:
    components, and the products of the remaining columns are formed only between rows that are
    still in different components. Overlap counts accumulate per pair; pairs below the
    bounds that follow from sizes, unmatched columns and the count are discarded; the others'
-   whole sets are intersected.
+   whole sets are intersected. Columns that the count misses come after the last one of the row
+   whose multiplied columns end first, so there are no more than that row has left.
 
 Every pair that links either has both rows in one component already or is compared, so the
 components are exact (up to collisions of 64-bit n-gram hashes). Groups of near copies are not
@@ -165,15 +166,16 @@ class _Join:
 
 
 def _rare_columns(full: DataFrame, percent: int) -> DataFrame:
-    """(nid, n, shared, rest, cols) of each row that can link: cols are the columns to multiply, the rare ones."""
+    """(nid, n, shared, rest, last, cols) of each row that can link: cols are the columns to multiply, the rare ones, and last the last (f, h) of them."""
     cells = full.select("nid", F.explode("grams").alias("h"))
     frequency = saved(cells.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "frequency")
     shared = cells.join(frequency, "h").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("cols"))
     rows = full.select("nid", "n").join(shared, "nid").withColumn("shared", F.size("cols").cast("long"))
     rows = rows.withColumn("take", F.expr(f"int((n - (({percent} * n + 99) div 100) + 1) - (n - shared))")).where("take > 0")
     rows = rows.withColumn("take", F.least("take", "shared").cast("int"))
-    rows = rows.withColumn("rest", F.col("shared") - F.col("take")).withColumn("cols", F.slice("cols.h", F.lit(1), F.greatest("take", F.lit(0))))
-    return saved(rows.select("nid", "n", "shared", "rest", "cols"), "rows")
+    rows = rows.withColumn("rest", F.col("shared") - F.col("take")).withColumn("last", F.element_at("cols", F.col("take")))
+    rows = rows.withColumn("cols", F.slice("cols.h", F.lit(1), F.greatest("take", F.lit(0))))
+    return saved(rows.select("nid", "n", "shared", "rest", "last", "cols"), "rows")
 
 
 def _links(full: DataFrame, percent: int) -> DataFrame:
@@ -198,15 +200,15 @@ def _links(full: DataFrame, percent: int) -> DataFrame:
     mixed = held.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1")
     mixed = saved(mixed.select("h", "major"), "mixed")
     open_ = saved(own.join(mixed, "h").join(rows, "nid"), "postings")
-    one = open_.where("component != major").select("h", F.col("nid").alias("a"), "n", "shared", "rest", "cols", F.col("component").alias("ca"))
+    one = open_.where("component != major").select("h", F.col("nid").alias("a"), "n", "shared", "rest", "last", "cols", F.col("component").alias("ca"))
     two = open_.select(
         "h", F.col("nid").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("shared2"),
-        F.col("rest").alias("rest2"), F.col("cols").alias("cols2"), F.col("component").alias("cb"), "major",
+        F.col("rest").alias("rest2"), F.col("last").alias("last2"), F.col("cols").alias("cols2"), F.col("component").alias("cb"), "major",
     )
     # each pair is formed in the first column that both rows hold, with its overlap count over all columns that are multiplied
     common = F.array_intersect("cols", "cols2")
     fits = F.expr("ca != cb and (cb = major or a < b)") & F.expr(join.bounded("least(shared, shared2)"))
-    reach = "size(array_intersect(cols, cols2)) + least(rest, rest2)"
+    reach = "size(array_intersect(cols, cols2)) + if(last <= last2, rest, rest2)"
     fits = fits & (F.element_at(common, 1) == F.col("h")) & F.expr(join.bounded(reach))
     pairs = one.join(two.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & fits)
     more = join.verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -87,6 +87,20 @@ def test_jaccard_large_group_of_near_copies(spark, words):
     assert [got[i] for i, _ in rows] == [c for _, c in plain_components(rows, 3, 90)]
 
 
+def test_jaccard_edited_copy_beside_a_longer_document(spark):
+    """B, an edited copy A with text of its own, and C that holds B and a passage that others hold too: A links B, whichever is the centre."""
+    rows = []
+    for i in range(8):
+        part = lambda name, n, i=i: [f"{name}{i}x{j}" for j in range(n)]
+        original, passage = part("b", 302), part("p", 92)
+        texts = [original, original[:299] + part("a", 18), original + passage, *(original[-2:] + passage + part(f"o{j}y", 14) for j in range(5))]
+        rows += [(100 * i + j, " ".join(t)) for j, t in enumerate(texts)]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert [got[k] for k, _ in rows] == [c for _, c in plain_components(rows, 3, 90)]
+    assert all(got[100 * i + 1] == 100 * i for i in range(8))
+
+
 def test_jaccard_odd_rows(odd, odd_texts, empty):
     out = jaccard.jaccard_components(odd)
     keys = [None if i == 3 else 7 if i in (6, 7) else i for i in range(len(odd_texts))]
