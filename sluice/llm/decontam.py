@@ -3,8 +3,10 @@
 Texts become templates: numbers, units of measure and names (capitalised words that do not begin
 a sentence; not single letters or words all in capitals; neighbouring ones are one) are typed placeholders, other words are in lower case. Windows of
 ``WINDOW`` template tokens of the benchmark items are hash-joined with all windows of all documents.
-Where an item's windows are found, the values that stand in its slots are compared: one value of
-the item must always correspond to one value of the document. A document leaks an item if it
+Where an item's windows are found, each is paired with one window of the document by its shift,
+and the values that stand in its slots are compared: one value of the item must always correspond
+to one value of the document. A shift whose own slots conflict is no leak; hits at other shifts
+that conflict, as an item that repeats a template makes with itself, are left out. A document leaks an item if it
 holds at least ``MIN_COVERAGE`` of the item's windows with consistent slots; ``kind`` is
 ``verbatim`` if all slots hold the item's own values, else ``reparameterised``.
 
@@ -18,7 +20,7 @@ than keys and texts are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -247,24 +249,54 @@ class Items:
             place[1].append((p, q, h))
         best = None
         for _, own in places:
-            matched = len({h for _, _, h in own})
-            if matched < least * self.windows[i]:
+            whole = len({h for _, _, h in own})
+            if whole < least * self.windows[i]:
                 continue
-            pairs = {(q + k, p + k) for p, q, _ in own for k in range(self.lengths[i]) if self.tokens[i][q + k] in (NUMBER, UNIT, NAME)}
-            # a name at an end of the place may have run together with one beside it, so it says nothing of consistency
-            ends = {min(p for p, _, _ in own), max(p + self.lengths[i] - 1 for p, _, _ in own)}
-            maps: dict[tuple[str, str], set[str]] = {}
-            for a, b in pairs:
-                if self.tokens[i][a] == NAME and b in ends:
-                    continue
-                maps.setdefault((self.tokens[i][a], self.values[i][a]), set()).add(values[b])
-            if any(len(v) > 1 for v in maps.values()):
-                continue
-            same = all(v == {value} for (_, value), v in maps.items())
-            if best is None or matched > best[0]:
-                best = (matched, len({a for a, _ in pairs}), "verbatim" if same else "reparameterised")
+            by_shift: dict[int, list[tuple[int, int, int]]] = {}
+            for p, q, h in own:
+                by_shift.setdefault(p - q, []).append((p, q, h))
+            hits = {shift: self._slots(i, x, values) for shift, x in by_shift.items()}
+            hits = {shift: x for shift, x in hits.items() if not _conflict(chain.from_iterable(slots for _, _, _, slots in x))}
+            for base in sorted(hits, key=lambda shift: -len(hits[shift])):
+                found = self._aligned(i, base, hits)
+                if found[0] >= least * self.windows[i] and (best is None or (found[0], found[2] == "verbatim") > (best[0], best[2] == "verbatim")):
+                    best = found
+                if found[0] == whole:
+                    break
         return best
 
+    def _slots(self, i: int, own: list[tuple[int, int, int]], values: list[str]) -> list[tuple[int, int, int, list]]:
+        """The hits of one shift, each with the (kind and value of the item, value of the text) of its slots."""
+        # a name at an end of the passage may have run together with one beside it, so it says nothing of consistency
+        ends = {min(p for p, _, _ in own), max(p + self.lengths[i] - 1 for p, _, _ in own)}
+        out = []
+        for p, q, h in own:
+            kinds = self.tokens[i][q : q + self.lengths[i]]
+            slots = [((t, self.values[i][q + k]), values[p + k]) for k, t in enumerate(kinds) if t in (NUMBER, UNIT) or t == NAME and p + k not in ends]
+            out.append((p, q, h, slots))
+        return out
+
+    def _aligned(self, i: int, base: int, hits: dict[int, list]) -> tuple[int, int, str]:
+        """Windows, slots and kind of the hits at shift ``base`` and of those at others, nearest first, that agree with them; each window is paired once."""
+        maps: dict[tuple[str, str], str] = {}
+        left, right, windows, places = set(), set(), set(), set()
+        for shift in sorted(hits, key=lambda x: (abs(x - base), x)):
+            for p, q, h, slots in hits[shift]:
+                if p in left or q in right or any(maps.get(a, b) != b for a, b in slots):
+                    continue
+                left.add(p)
+                right.add(q)
+                windows.add(h)
+                maps.update(slots)
+                places.update(q + k for k in range(self.lengths[i]) if self.tokens[i][q + k] in (NUMBER, UNIT, NAME))
+        return len(windows), len(places), "verbatim" if all(value == v for (_, value), v in maps.items()) else "reparameterised"
+
+
+def _conflict(slots: Iterable[tuple[tuple[str, str], str]]) -> bool:
+    """Whether one value of the item stands for two of the text."""
+    maps: dict[tuple[str, str], str] = {}
+    return any(maps.setdefault(a, b) != b for a, b in slots)
+
 
 _hashes = TemplateHashes()
 

@@ -153,6 +153,17 @@ def test_template_leaks():
     assert kinds("") == [] and kinds("5 6 7") == []
 
 
+def test_leaks_of_items_that_repeat_a_template():
+    shop = "A shop sells 3 boxes of pens for 4 coins and 5 boxes of pens for 6 coins so what is the price of all the boxes that Mary must carry home today"
+    total = "Compute the sum add 12 to the total of it then add 15 to the total of it then add 18 to the total of it and say what you get at the end"
+    for text in (shop, total):
+        items = decontam.Items([(1, text)])
+        for doc in (text, f"Some words before. {text}. And after"):
+            assert [(x[0], x[3], x[5]) for x in items.leaks(doc)] == [(1, 1.0, "verbatim")]
+        other = text.replace("3", "7").replace("12", "40").replace("Mary", "Anna")
+        assert [(x[0], x[3], x[5]) for x in items.leaks(other)] == [(1, 1.0, "reparameterised")]
+
+
 def test_leaks_agree_with_plain_search(spark, words):
     rng = random.Random(8)
     sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
