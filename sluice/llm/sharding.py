@@ -3,7 +3,8 @@
 Groups of equal texts (nulls are one group) are never divided. Groups fall into weight classes
 of one width in 4096 (exact below 4096 bytes); the driver sees only the histogram of classes,
 whose size is bounded whatever the data, and packs it: classes by decreasing weight, each group
-into the bin with the tightest remaining capacity that holds it, found in a balanced tree.
+into the bin with the tightest remaining capacity that holds it, found in a balanced tree. For
+a given number of shards, groups heavier than an equal share have a shard each.
 Groups of a class are then ranked on the cluster and take their bins by rank. A null text counts
 one byte, as an empty one does; repeated rows and null keys are ordinary rows; an empty table
 gives an empty one; columns other than key and text are ignored.
@@ -124,14 +125,25 @@ def best_fit_decreasing(classes: list[WeightClass], capacity: int) -> list[tuple
 def least_capacity(classes: list[WeightClass], shards: int) -> list[tuple[int, int, int]]:
     """The packing into at most ``shards`` bins with nearly the least capacity that allows it.
 
-    The capacity starts at an equal share, and goes up by one part in 2 ** 16, doubled after each failure.
+    A group heavier than an equal share of what is left has a bin of its own. For the others, the
+    capacity starts at an equal share, and goes up by one part in 2 ** 16, doubled after each failure.
     """
     total = sum(c.count * c.weight for c in classes)
-    least, step = max([-(-total // shards), *(c.weight for c in classes)]), 0
+    alone, rest, bins = [], [], 0
+    for c in sorted(classes, key=lambda c: (-c.weight, c.cls)):
+        left = c.count
+        while left and c.weight * (shards - bins) > total:
+            alone.append((c.cls, bins, 1))
+            total, left, bins = total - c.weight, left - 1, bins + 1
+        if left:
+            rest.append(WeightClass(c.cls, left, c.weight))
+    if not rest:
+        return alone
+    least, step = max(-(-total // (shards - bins)), rest[0].weight), 0
     while True:
-        placed = best_fit_decreasing(classes, least + (least * step >> 16))
-        if len({b for _, b, _ in placed}) <= shards:
-            return placed
+        placed = best_fit_decreasing(rest, least + (least * step >> 16))
+        if len({b for _, b, _ in placed}) <= shards - bins:
+            return alone + [(cls, bins + b, n) for cls, b, n in placed]
         step = max(1, 2 * step)
 
 

@@ -319,6 +319,24 @@ def test_shards(spark):
     assert max(sizes.values()) <= 1.01 * min(sizes.values()) and len(sizes) == 8
 
 
+def test_shards_beside_heavy_groups():
+    def sizes(weights, shards):
+        out = Counter()
+        counts = Counter(weights)
+        placed = sharding.least_capacity([sharding.WeightClass(w, n, w) for w, n in counts.items()], shards)
+        for w, b, n in placed:
+            out[b] += w * n
+            counts[w] -= n
+        assert not any(counts.values()) and set(out) <= set(range(shards))
+        return sorted(out.values(), reverse=True)
+
+    one = sizes([5000] + [10] * 1000, 8)
+    assert one[0] == 5000 and len(one) == 8 and one[1] <= 1.01 * one[-1]
+    two = sizes([9000, 2000, 2000] + [10] * 500 + [3] * 100, 8)
+    assert two[:3] == [9000, 2000, 2000] and len(two) == 8 and two[3] <= 1.02 * two[-1]
+    assert sizes([7, 7], 8) == [7, 7] and sizes([], 8) == []
+
+
 def test_shards_odd_rows(odd, odd_texts, empty):
     check_shards(sharding.shard_by_bytes(odd, shards=3).collect(), odd_texts, 3)
     small = sharding.shard_by_bytes(odd, capacity=30_000).collect()
