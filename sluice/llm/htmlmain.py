@@ -4,10 +4,11 @@ A page is cut into leaf blocks: runs of text between the boundaries of block-lev
 Each block has features of its ancestors (tags, pairs of tags, words of class, id and role) and of its
 text (length, share of links, punctuation). The field is trained on labelled pages by gradient
 ascent on the conditional likelihood, and each page is decoded by Viterbi. The text of scripts,
-styles and the head is never a block.
+styles and the head is never a block; a head without an end tag ends at the first element of the body.
 
 A null or empty html, or one without main text, gives an empty text. Broken markup is read as far as it goes:
-unclosed elements end with their parent, a tag that is cut off at the end is dropped. Pages of
+unclosed elements end with their parent, a tag that is cut off at the end is dropped, and of an
+element whose content is no text only the tag where it closes itself or has no end tag (scripts and styles: the rest). Pages of
 any length are taken whole. Repeated rows are extracted alike; null keys and urls are kept; an
 empty table gives an empty one; columns other than key, url and html are ignored.
 """
@@ -25,13 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose content is no text of the page.
-_RAW = "script|style|noscript|template|svg|iframe|object|canvas|select|textarea|head|title|math"
+_RAW = "script|style|noscript|template|svg|iframe|object|canvas|select|textarea|title|math"
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_TAG_END = re.compile(r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^>]*(?:>|\Z)")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW.split("|")}
+#: A slash at the end of an attribute's bare value belongs to it.
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'>]+\Z")
+#: Elements that don't end the head where its end tag is left out.
+_HEAD_TAGS = frozenset("head html base basefont bgsound link meta noframes".split())
 _ATTRS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 BLOCK_TAGS = frozenset(
@@ -59,7 +66,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     path: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at, in_head = 0, 0, 0, False
+    endless: set[str] = set()  # raw elements without an end tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -72,7 +80,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(low: int, high: int) -> None:
         nonlocal linked
-        if low < high:
+        if low < high and not in_head:
             text = page[low:high]
             if "&" in text:
                 text = entities.unescape(text)
@@ -80,13 +88,32 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    for m in _MARKUP.finditer(page):
+    def after(raw: str, low: int) -> int:
+        """Where the text goes on after a raw element whose name ends at ``low``."""
+        m = _TAG_END.match(page, low)
+        attrs = m["attrs"] or ""
+        if raw not in ("script", "style") and attrs.endswith("/") and not _BARE_VALUE.search(attrs):
+            return m.end()
+        end = None if raw in endless else _RAW_END[raw].search(page, low)
+        if end:
+            return end.end()
+        endless.add(raw)
+        return len(page) if raw in ("script", "style") else m.end()
+
+    while m := _MARKUP.search(page, at):
         add(at, m.start())
         at = m.end()
+        if m["raw"]:
+            at = after(m["raw"].lower(), at)
+            continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "head":
+            in_head = not m["close"]
+        elif not m["close"] and tag not in _HEAD_TAGS:
+            in_head = False
         if tag not in BLOCK_TAGS:
             if tag == "a":
                 in_link = 0 if m["close"] else 1

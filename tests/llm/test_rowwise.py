@@ -201,6 +201,18 @@ def test_main_text_of_a_page():
     assert htmlmain.extract(PAGE, htmlmain.trained()) == "A & B title\n\nFirst paragraph, with <marks>. More.\n\nSecond paragraph é here.\n\nItem one is text."
 
 
+def test_raw_elements_without_end_tags():
+    texts = lambda page: [b.text for b in htmlmain.blocks(page)]
+    assert texts("<html><head><meta charset=utf-8><body><article><p>Main text.") == ["Main text."]
+    assert texts("<head><title>T</title><style>p</style>x<link href=a><p>Main.") == ["Main."]
+    assert texts("<head>x<title>T</title>y</head>z<p>Main.") == ["z", "Main."]
+    assert texts("<p>One <svg class=i /> two.</p><p>Three.<svg></svg>") == ["One two.", "Three."]
+    assert texts("<p>One <iframe src=a/> two.</p><p>Three.</p><SELECT><option>a") == ["One two.", "Three.", "a"]
+    assert texts("<p>One <object data=a/>x</object><svg/><math>y</math> two.<noscript>z</noscript >") == ["One two."]
+    assert texts("<p>One<script/>x<p>y") == ["One"] and texts("<p>One<svg class='a") == ["One"]
+    assert texts("<p>a <svg>" * 20_000)[-1] == "a"
+
+
 def test_main_text_odd_rows(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "v", "<p"), (4, None, "<body><article><p>" + "word " * 50_000), (4, None, "a < b & c <3"), (6, "", "<article class='x\">")]
     out = htmlmain.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
