@@ -1,7 +1,8 @@
 """Packing of documents into sequences by cutting-stock column generation.
 
 Each document's ids, with an end id, are cut at multiples of the sequence length, which leaves one
-shorter piece. Pieces fall into length classes of ``UNIT`` ids. The driver solves the linear
+shorter piece. Pieces fall into length classes of ``UNIT`` ids; those below ``SHORT`` ids are first put together in
+bundles of equal lengths, which are planned like pieces, so that little is lost to rounding. The driver solves the linear
 program over patterns (how many pieces of each class share a sequence) for the histogram of
 classes, which has at most ``limit / UNIT`` numbers whatever the data: knapsack dynamic
 programming prices new patterns until none would help. Pattern counts are rounded down, the
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import runs, saved, with_rank
+from .spans import parts
+from .util import saved, with_rank
 from .wordids import word_ids
 
 LIMIT, UNIT, END = 4096, 16, 2
+#: Pieces of fewer ids are bundled, as many of one length as have at most BUNDLE ids.
+SHORT, BUNDLE = 128, 512
 #: Column generation ends when the linear program is proven to be within this part of its optimum.
 GAP = 2e-4
 
@@ -117,10 +121,9 @@ def pieces(df: DataFrame, file: str, limit: int = LIMIT, end: int = END, key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(file).encode
         for b in batches:
-            texts = b.column(1).to_pylist()
             rows, starts, lens, sums, tokens = [], [], [], [], []
-            for low, high in runs(texts):
-                ids, counts = encode(texts[low:high], end)
+            for low, texts in parts(b.column(1)):
+                ids, counts = encode(texts, end)
                 data, at = memoryview(ids.astype("<u4").tobytes()), 0
                 for i, n in enumerate(counts.tolist(), low):
                     for start in range(0, n, limit):
@@ -140,10 +143,36 @@ def pieces(df: DataFrame, file: str, limit: int = LIMIT, end: int = END, key: st
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+def bundled(histogram: dict[int, int], limit: int) -> tuple[dict[int, int], list[tuple[int, int, int, int, int]]]:
+    """The histogram {class: pieces and bundles}, and where each class's pieces stand in it.
+
+    In the histogram given, pieces of fewer than SHORT ids have the class -length. The list has, for each class: how many
+    pieces make a bundle, how many do so, the class of these bundles and their first rank there, and the same for what is left over.
+    """
+    out = {c: n for c, n in histogram.items() if c > 0}
+    rows = []
+    for c in sorted(histogram):
+        if c > 0:
+            rows.append((c, 1, histogram[c], c, 0, c, 0))
+            continue
+        size = max(1, min(BUNDLE, limit) // -c)
+        whole, left = divmod(histogram[c], size)
+        wide, rest = (-(-n * -c // UNIT) for n in (size, left))
+        rows.append((c, size, whole * size, wide, out.get(wide, 0), rest, out.get(rest, 0) + (whole if rest == wide else 0)))
+        out[wide] = out.get(wide, 0) + whole
+        if left:
+            out[rest] = out.get(rest, 0) + 1
+    return out, rows
+
+
 def pack(df: DataFrame, file: str, limit: int = LIMIT, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece."""
-    cut = saved(pieces(df, file, limit, end, key, text).withColumn("_cls", F.expr(f"int((length + {UNIT - 1}) div {UNIT})")), "pack-pieces")
-    histogram = {r["_cls"]: r["n"] for r in cut.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece. ``limit`` is a multiple of UNIT."""
+    if limit < UNIT or limit % UNIT:
+        raise ValueError(f"the sequence length must be a multiple of {UNIT}")
+    spark = df.sparkSession
+    kind = F.expr(f"if(length < {SHORT}, -int(length), int((length + {UNIT - 1}) div {UNIT}))")
+    cut = saved(pieces(df, file, limit, end, key, text).withColumns({"_kind": kind, "_row": F.monotonically_increasing_id()}), "pack-pieces")
+    histogram, rows = bundled({r["_kind"]: r["n"] for r in cut.groupBy("_kind").agg(F.count(F.lit(1)).alias("n")).collect()}, limit)
     places, next_rank, sequence = [], {}, 0
     for pattern, times in plan(histogram, limit // UNIT):
         for c, a in pattern:
@@ -151,10 +180,15 @@ def pack(df: DataFrame, file: str, limit: int = LIMIT, end: int = END, key: str
             places.append((c, low, low + a * times, a, sequence))
             next_rank[c] = low + a * times
         sequence += times
-    spans = df.sparkSession.createDataFrame(places, "_c int, _low long, _high long, _a long, _first long")
-    ranked = with_rank(cut, "_cls", F.struct(key, "start"), [key, "start", "ids_crc32"], "_rank")
+    spans = spark.createDataFrame(places, "_c int, _low long, _high long, _a long, _first long")
+    # at most SHORT + limit / UNIT rows
+    bundles = F.broadcast(spark.createDataFrame(rows, "_kind int, _size long, _whole long, _wide int, _wide0 long, _rest int, _rest0 long"))
+    ranked = with_rank(cut, "_kind", F.col("_row"), ["_row"], "_nth").join(bundles, "_kind")
+    full = F.col("_nth") < F.col("_whole")
+    ranked = ranked.withColumn("_cls", F.when(full, F.col("_wide")).otherwise(F.col("_rest")))
+    ranked = ranked.withColumn("_rank", F.when(full, F.expr("_wide0 + _nth div _size")).otherwise(F.col("_rest0")))
     own = ranked.join(spans, (F.col("_cls") == F.col("_c")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     own = own.withColumn("sequence_id", F.expr("_first + (_rank - _low) div _a"))
-    before = Window.partitionBy("sequence_id").orderBy(F.desc("_cls"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("_cls"), "_rank", "_kind", "_nth").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     return own.select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -1,36 +1,55 @@
 """Identifiers of whole texts by a tokenizers file, with the ids of recurring words kept in a bounded pool.
 
-Holds for tokenizers that drop white space between words, such as ``word_bpe_49k.json``: a text is
-cut at ASCII white space, and each distinct chunk is encoded once by the library. Chunks of Latin
-letters with ASCII punctuation after them are encoded as letters and punctuation, since the
-library's pattern parts them too.
+Holds for tokenizers that lower-case, drop white space, and part letters, single digits and other
+signs, such as ``word_bpe_49k.json``. A text is cut at ASCII white space. Chunks of ASCII, but for
+apostrophes and ``<``, and of Latin-1 letters are parted into letters, digits and signs here, as the
+library's pattern does; other chunks are encoded by the library whole. Each distinct part is
+encoded once by the library.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from itertools import chain, repeat
+import os
+from itertools import chain
 
 import numpy as np
 
+from .spans import LOWER, SPACE, Numbers, Texts
 from .util import claim
 
-#: Distinct chunks and pooled ids of a worker; beyond either the pool starts anew.
-MAX_CHUNKS, MAX_IDS = 1_200_000, 8_000_000
+#: Distinct parts, pooled ids and bytes of long parts of a worker; beyond any of them the pool starts anew.
+MAX_PARTS, MAX_IDS, MAX_LONG = 1 << 20, 8_000_000, 4_000_000
 _JOINED = 2048
-_PLAIN = re.compile(r'([A-Za-zÀ-ÖØ-öø-ÿ]*)([!"#$%&()*+,\-./:;=?@\[\]^_`{}~]*)')
+_LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 4
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    out[33:127] = _SIGN
+    out[[*range(65, 91), *range(97, 123)]] = _LETTER
+    out[48:58] = _DIGIT
+    out[[39, 60]] = _OTHER  # apostrophes begin words of their own, < special tokens
+    out[SPACE] = 0
+    return out
+
+
+_CLASS = _classes()
+#: Second bytes of the letters from U+00C0 to U+00FF, and of the capitals among them.
+_LATIN = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+_CAPITAL = np.isin(np.arange(256), [b for b in range(0x80, 0x9F) if b != 0x97])
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
+    """The printable letter that stands for each byte but the space in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest) if b != 32}
 
 
 class WordIds:
     def __init__(self, file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         with open(file) as f:
@@ -46,88 +65,94 @@ class WordIds:
         self.letters = _byte_letters()
         self.ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
         self.ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
+        self.numbers = Numbers()
         self._clear()
 
     def _clear(self) -> None:
-        self.of: dict[bytes, int] = {}
-        self.atoms: dict[str, int] = {}
+        self.numbers.clear()
         self.entries = self.used = 0
-        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.lens = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
 
-    def _append(self, ids: np.ndarray, lens: np.ndarray) -> int:
-        """Pool entries of the given lengths that lie one after another in ``ids``; the first one's number."""
+    def _append(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        """Pool the ids of the next entries, which have the given lengths and lie one after another."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.entries + len(lens) > len(self.starts):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        first, to = self.entries, self.entries + len(lens)
+        to = self.entries + len(lens)
         self.pool[self.used : self.used + len(ids)] = ids
-        self.lens[first:to] = lens
-        self.starts[first:to] = self.used + np.cumsum(lens) - lens
+        self.lens[self.entries : to] = lens
+        self.starts[self.entries : to] = self.used + np.cumsum(lens) - lens
         self.used += len(ids)
         self.entries = to
-        return first
 
-    def _learn_atoms(self, atoms: list[str]) -> None:
-        mapped = [a.encode().decode("latin-1").translate(self.letters) for a in atoms]
-        lines = [" ".join(mapped[i : i + _JOINED]) for i in range(0, len(mapped), _JOINED)]
-        ids = np.concatenate([np.asarray(e.ids, np.int64) for e in self.words.encode_batch(lines, add_special_tokens=False)])
+    def _plain(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lines = [b" ".join(parts[i : i + _JOINED]).decode("latin-1").translate(self.letters) for i in range(0, len(parts), _JOINED)]
+        found = [np.asarray(e.ids, np.int64) for e in self.words.encode_batch(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.int64), *found])
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(atoms):
+        if len(ends) != len(parts):
             raise ValueError("the vocabulary has no word end for some word")
-        first = self._append(ids, np.diff(ends, prepend=0))
-        self.atoms.update(zip(atoms, range(first, first + len(atoms)), strict=True))
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """An entry is the pool number of a first part, and 1 + that of a second part in the upper half."""
-        parts, rest = [], []
-        for c in chunks:
-            m = _PLAIN.fullmatch(c.decode("utf-8", "surrogatepass"))
-            if m and "<" not in m[2]:
-                parts.append((c, m[1].lower(), m[2]))
-            else:
-                rest.append(c)
-        new = dict.fromkeys(chain.from_iterable((a, b) for _, a, b in parts))
-        if new := [a for a in new if a and a not in self.atoms]:
-            self._learn_atoms(new)
-        atoms, of = self.atoms, self.of
-        for c, a, b in parts:
-            of[c] = (atoms[a] if a else atoms[b]) | ((atoms[b] + 1) << 32 if a and b else 0)
-        if rest:
-            ids = [e.ids for e in self.whole.encode_batch([c.decode("utf-8", "surrogatepass") for c in rest], add_special_tokens=False)]
-            lens = np.array([len(x) for x in ids], np.int64)
-            first = self._append(np.fromiter(chain.from_iterable(ids), np.int64, int(lens.sum())), lens)
-            of.update(zip(rest, range(first, first + len(rest)), strict=True))
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, parts: list[bytes], other: np.ndarray) -> None:
+        """Pool the ids of parts; those marked other are encoded as they are."""
+        ids, lens = self._plain([p for p, o in zip(parts, other.tolist(), strict=True) if not o])
+        if other.any():
+            texts = [p.decode("utf-8", "replace") for p, o in zip(parts, other.tolist(), strict=True) if o]
+            found = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            more = np.array([len(x) for x in found], np.int64)
+            every = np.empty(len(parts), np.int64)
+            every[~other], every[other] = lens, more
+            own = np.repeat(~other, every)
+            both = np.empty(int(every.sum()), np.int64)
+            both[own], both[~own] = ids, np.fromiter(chain.from_iterable(found), np.int64, int(more.sum()))
+            ids, lens = both, every
+        self._append(ids, lens)
+
+    @staticmethod
+    def _parted(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each byte, one for all of a chunk that the library must part; and all bytes, in lower case elsewhere."""
+        n = texts.size
+        buf = texts.buf
+        kind, low = _CLASS[buf[:n]], LOWER[buf]
+        lead = np.flatnonzero(buf[:n] == 0xC3)
+        lead = lead[_LATIN[buf[lead + 1]]]
+        kind[lead] = kind[lead + 1] = _LETTER
+        capital = lead[_CAPITAL[buf[lead + 1]]] + 1
+        low[capital] += 32
+        bad = np.flatnonzero(kind == _OTHER)
+        if len(bad):
+            starts, ends = texts.words()
+            chunk = np.unique(np.searchsorted(starts, bad, "right") - 1)
+            lens = ends[chunk] - starts[chunk]
+            upto = np.cumsum(lens)
+            whole = np.repeat(starts[chunk] - (upto - lens), lens) + np.arange(upto[-1])
+            kind[whole] = _OTHER
+            low[whole] = buf[whole]
+        return kind, low
+
+    def encode(self, texts: Texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with ``end`` after it, and the number of ids of each text."""
-        if len(self.of) > MAX_CHUNKS or self.used > MAX_IDS:
+        if self.numbers.entries > MAX_PARTS or self.used > MAX_IDS or self.numbers.long_bytes > MAX_LONG:
             self._clear()
-        parted = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        n_words = np.fromiter(map(len, parted), np.int64, len(parted))
-        words = list(chain.from_iterable(parted))
-        at = np.fromiter(map(self.of.get, words, repeat(-1)), np.int64, len(words))
-        if len(missing := np.flatnonzero(at < 0)):
-            missed = [words[i] for i in missing]
-            self._learn(list(dict.fromkeys(missed)))
-            at[missing] = np.fromiter(map(self.of.__getitem__, missed), np.int64, len(missed))
-        del parted, words
-        second = (at >> 32) - 1
-        entry = np.empty((len(at), 2), np.int64)
-        entry[:, 0], entry[:, 1] = at & 0xFFFFFFFF, second
-        entry = entry.ravel()
-        kept = entry >= 0
-        n_entries = np.add.reduceat(np.append(1 + (second >= 0), 0), np.cumsum(n_words) - n_words) if len(n_words) else n_words
-        n_entries[n_words == 0] = 0
-        entry = entry[kept]
-        lens = self.lens[entry]
-        ends = np.cumsum(lens)
-        ids = self.pool[np.repeat(self.starts[entry] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)].astype(np.uint32)
-        upto = np.append(0, ends)[np.cumsum(n_entries)]
-        counts = np.diff(upto, prepend=0)
+        kind, low = self._parted(texts)
+        around = np.zeros(texts.size + 2, np.uint8)
+        around[1:-1] = kind
+        before, after = around[:-1], around[1:]
+        cut = (before != after) | (before == _DIGIT) | texts.edges()
+        starts, ends = np.flatnonzero(cut & (after > 0)), np.flatnonzero(cut & (before > 0))
+        at = self.numbers.of(low, starts, ends, lambda reps, parts: self._learn(parts, kind[starts[reps]] == _OTHER))
+        lens = self.lens[at]
+        upto = np.cumsum(lens, dtype=np.int64)
+        place = np.repeat(self.starts[at] - (upto - lens), lens)
+        place += np.arange(len(place))
+        ids = self.pool[place].astype(np.uint32)
+        at_end = np.append(0, upto)[np.searchsorted(starts, texts.bounds[1:])]
+        counts = np.diff(at_end, prepend=0)
         if end is not None:
-            ids = np.insert(ids, upto, end)
+            ids = np.insert(ids, at_end, end)
             counts += 1
         return ids, counts
 
