@@ -1,11 +1,14 @@
 """Token ids in Re-Pair grammar files with random access.
 
-Rows are put in order of their key and encoded; every run of texts becomes one shard file. In a
-shard, frequent pairs of neighbouring ids are replaced by nonterminals again and again: in each
-round the most frequent pairs that occur at least ``MIN_COUNT`` times give way to nonterminals, from
-the left where they overlap, and the sequence that results goes through the next round. The file holds the rules, the length of each rule's expansion, the sequence and the number of ids of each text, so
-that any range of ids is decoded by expanding only the symbols that cover it. Pairs that begin with the end
-id are never replaced.
+Rows are put in order of their key and encoded; runs of about ``SHARD_IDS`` ids, of whole texts, become one shard file each.
+In a shard, frequent pairs of neighbouring symbols are replaced by nonterminals again and again, the most frequent ones
+first, until no pair occurs ``MIN_COUNT`` times: each round replaces the pairs whose counts come near that of the most
+frequent one, from the left where they overlap. Once a round has replaced every frequent pair, new frequent pairs can only
+hold a symbol of that round, so the rounds after it count those pairs alone. Pairs that begin with the end id are never replaced.
+
+The file holds the ids in use, the rules, the length of each rule's expansion, the sequence with the number of ids before every
+``MARK``-th symbol, and the number of ids of each text, so that any range of ids is decoded by expanding only the
+symbols that cover it. Symbols take two bytes, or four where a shard has more than 65,536.
 
 Files are binary values of a Parquet table in the shared folder. Null and empty texts are the end
 id alone; repeated rows are texts of their own, null keys come first; an empty table gives no
@@ -24,100 +27,141 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import runs, saved
+from .spans import parts
+from .util import saved
 from .wordids import word_ids
 
 END = 2
-MIN_COUNT, ROUNDS, RULES_A_ROUND = 6, 6, 2048
-#: Symbols are 16-bit, so that a pair is one 32-bit number.
-MAX_SYMBOL = 1 << 16
-_MAGIC = b"SLREPAIR"
+#: A rule takes the room of this many symbols, so that rarer pairs aren't worth one.
+MIN_COUNT = 6
+#: A round takes the pairs that occur at least one time in so many as the most frequent one.
+NEAR = 64
+SHARD_IDS = 1 << 19
+MARK = 1024
+_MAGIC, _HEAD = b"SLREPAI2", "<8sIIIIIQ"
+
+
+def _codes(left: np.ndarray, right: np.ndarray, wide: bool) -> np.ndarray:
+    """One number for each pair."""
+    return (left.astype(np.uint64) << np.uint64(32)) | right if wide else (left << np.uint32(16)) | right
 
 
-def _frequent(codes: np.ndarray, most: int) -> np.ndarray:
-    """Pair codes that occur at least MIN_COUNT times, the most frequent first, equal counts by code."""
+def _frequent(codes: np.ndarray, near: int) -> tuple[np.ndarray, bool]:
+    """Pair codes whose count is at least MIN_COUNT and comes near the highest, in ascending order; whether these are all that reach MIN_COUNT."""
     ordered = np.sort(codes)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[: len(ordered)]
     counts = np.diff(first, append=len(ordered))
-    kept = np.flatnonzero(counts >= MIN_COUNT)
-    kept = kept[np.lexsort((kept, -counts[kept]))][:most]
-    return ordered[first[kept]]
+    top = int(counts.max(initial=0))
+    least = max(MIN_COUNT, top // near)
+    return ordered[first[counts >= least]], least == MIN_COUNT
 
 
-def _replace(seq: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
-    """Every occurrence of a pair becomes its nonterminal, from the left where occurrences overlap."""
-    codes = (seq[:-1] << np.uint32(16)) | seq[1:]
-    filter_ = np.zeros(1 << 16, bool)
-    slot = lambda c: (c * np.uint32(0x9E3779B1)) >> np.uint32(16)
+def _hits(codes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a code is one of the ascending pairs, and which."""
+    bits = max(16, (8 * len(pairs)).bit_length())
+    wide = codes.dtype == np.uint64
+    slot = (lambda c: (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)) if wide else (lambda c: (c * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits))
+    filter_ = np.zeros(1 << bits, bool)
     filter_[slot(pairs)] = True
     at = np.flatnonzero(filter_[slot(codes)])
-    order = np.argsort(pairs)
-    found = np.searchsorted(pairs[order], codes[at])
+    found = np.searchsorted(pairs, codes[at])
     found[found == len(pairs)] = 0
-    hit = pairs[order][found] == codes[at]
-    at, rank = at[hit], order[found[hit]]
-    # of occurrences that overlap in a row, every other one counts from the left
+    hit = pairs[found] == codes[at]
+    return at[hit], found[hit]
+
+
+def _replace(seq: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The symbol takes the place of the pair at each of the ascending places, from the left where they overlap."""
     index = np.arange(len(at))
     first = np.concatenate([[True], np.diff(at) != 1])[: len(at)]
+    # of places in a row, every other one counts from the left
     keep = (index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0
-    at, rank = at[keep], rank[keep]
+    at = at[keep]
     out = seq.copy()
-    out[at] = base + rank
-    keep = np.ones(len(seq), bool)
-    keep[at + 1] = False
-    return out[keep]
+    out[at] = symbols[keep]
+    left = np.ones(len(seq), bool)
+    left[at + 1] = False
+    return out[left]
+
+
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in ascending order, and the place of each id among them."""
+    if not len(ids) or int(ids.max()) >= 1 << 22:
+        alphabet, seq = np.unique(ids, return_inverse=True)
+        return alphabet.astype(np.uint32), seq.astype(np.uint32)
+    used = np.zeros(int(ids.max()) + 1, bool)
+    used[ids] = True
+    return np.flatnonzero(used).astype(np.uint32), (np.cumsum(used, dtype=np.uint32) - np.uint32(1))[ids]
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, end: int = END) -> bytes:
     """The file of a run of texts: ids in a row, and the number of ids of each text."""
-    base = first = int(ids.max()) + 1 if len(ids) else 0
-    if base > MAX_SYMBOL:
-        raise ValueError(f"ids must be below {MAX_SYMBOL}")
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        codes = (seq[:-1] << np.uint32(16)) | seq[1:]
-        pairs = _frequent(codes[seq[:-1] != end], min(RULES_A_ROUND, MAX_SYMBOL - base))
+    alphabet, seq = _dense(ids)
+    own_end = int(np.searchsorted(alphabet, end))
+    if own_end == len(alphabet) or alphabet[own_end] != end:
+        own_end = (1 << 32) - 1
+    base, sizes, left, right, fresh = len(alphabet), [], [], [], None
+    while len(seq) > 1:
+        a, b = seq[:-1], seq[1:]
+        free = a != own_end
+        at = np.flatnonzero(free if fresh is None else free & ((a >= fresh) | (b >= fresh)))
+        codes = _codes(a[at], b[at], base > 1 << 16)
+        pairs, every = _frequent(codes, NEAR)
         if not len(pairs):
             break
-        seq = _replace(seq, pairs, base)
-        rules.append(pairs)
+        hit, rule = _hits(codes, pairs)
+        half = np.uint64(32) if pairs.dtype == np.uint64 else np.uint32(16)
+        left.append((pairs >> half).astype("<u4"))
+        right.append((pairs & ((pairs.dtype.type(1) << half) - pairs.dtype.type(1))).astype("<u4"))
+        sizes.append(len(pairs))
+        seq = _replace(seq, at[hit], (base + rule).astype(np.uint32))
+        fresh = base if every else fresh
         base += len(pairs)
-    sizes = np.array([len(r) for r in rules], "<u4")
-    pairs = np.concatenate([np.zeros(0, np.uint32), *rules]).astype("<u4")
-    lens = _expansions(first, sizes, pairs)[1]
-    head = struct.pack("<8sIIIIQ", _MAGIC, first, len(sizes), len(pairs), len(counts), len(seq))
-    parts = [sizes, pairs, lens.astype("<u4"), seq.astype("<u2"), counts.astype("<u8")]
-    return head + b"".join(p.tobytes() for p in parts)
+    none = np.zeros(0, "<u4")
+    sizes, left, right = np.array(sizes, "<u4"), np.concatenate([none, *left]), np.concatenate([none, *right])
+    lens = _expansions(alphabet, sizes, left, right)[1]
+    upto = np.cumsum(lens[seq])
+    marks = np.append(0, upto)[:-1][::MARK].astype("<u8") if len(seq) else np.zeros(0, "<u8")
+    width = 2 if base <= 1 << 16 else 4
+    head = struct.pack(_HEAD, _MAGIC, width, len(alphabet), len(sizes), len(left), len(counts), len(seq))
+    body = [alphabet.astype("<u4"), sizes, left, right, lens[len(alphabet) :].astype("<u4"), marks, seq.astype(f"<u{width}"), counts.astype("<u8")]
+    return head + b"".join(x.tobytes() for x in body)
 
 
 def _expand(seq: np.ndarray, starts: np.ndarray, lens: np.ndarray, pool: np.ndarray) -> np.ndarray:
     n = lens[seq]
     ends = np.cumsum(n)
-    return pool[np.repeat(starts[seq] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    place = np.repeat(starts[seq] - (ends - n), n)
+    place += np.arange(len(place))
+    return pool[place]
 
 
-def _expansions(first: int, sizes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and ids of each symbol's expansion, round by round: a rule uses earlier symbols only."""
-    starts, lens, pool, low = np.arange(first, dtype=np.int64), np.ones(first, np.int64), np.arange(first, dtype=np.uint32), 0
+def _expansions(alphabet: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of each symbol's expansion, and the ids of all, round by round: a rule uses earlier symbols only."""
+    m = len(alphabet)
+    starts, lens, pool, low = np.arange(m, dtype=np.int64), np.ones(m, np.int64), alphabet.astype(np.uint32), 0
     for n in sizes.tolist():
-        own = pairs[low : low + n].astype(np.int64)
-        both = np.stack([own >> 16, own & 0xFFFF], axis=1).ravel()
-        new = lens[own >> 16] + lens[own & 0xFFFF]
-        pool = np.concatenate([pool, grown := _expand(both, starts, lens, pool)])
-        starts = np.concatenate([starts, len(pool) - len(grown) + np.cumsum(new) - new])
+        a, b = left[low : low + n].astype(np.int64), right[low : low + n].astype(np.int64)
+        new = lens[a] + lens[b]
+        pool = np.concatenate([pool, _expand(np.stack([a, b], axis=1).ravel(), starts, lens, pool)])
+        starts = np.concatenate([starts, len(pool) - int(new.sum()) + np.cumsum(new) - new])
         lens = np.concatenate([lens, new])
         low += n
-    return starts, lens[first:], pool
+    return starts, lens, pool
 
 
 class ShardFile:
     """A shard read back. ``counts``: the number of ids of each text."""
 
     def __init__(self, data: bytes):
-        magic, self.first, rounds, rules, texts, symbols = struct.unpack_from("<8sIIIIQ", data)
+        if len(data) < struct.calcsize(_HEAD):
+            raise ValueError("a shard file is cut off or too long")
+        magic, width, ids, rounds, rules, texts, symbols = struct.unpack_from(_HEAD, data)
         if magic != _MAGIC:
             raise ValueError("not a shard file")
-        at = struct.calcsize("<8sIIIIQ")
+        at = struct.calcsize(_HEAD)
+        if width not in (2, 4) or len(data) != at + 4 * (ids + rounds + 3 * rules) + 8 * (-(-symbols // MARK) + texts) + width * symbols:
+            raise ValueError("a shard file is cut off or too long")
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -125,24 +169,26 @@ class ShardFile:
             at += out.nbytes
             return out
 
-        sizes, pairs, lens = take("<u4", rounds), take("<u4", rules), take("<u4", rules)
-        self.seq, self.counts = take("<u2", symbols), take("<u8", texts).astype(np.int64)
-        if at != len(data):
-            raise ValueError("a shard file is cut off or too long")
-        self.starts, found, self.pool = _expansions(self.first, sizes, pairs)
-        if not np.array_equal(found, lens):
+        alphabet, sizes, left, right, lens = (take("<u4", n) for n in (ids, rounds, rules, rules, rules))
+        self.marks, self.seq, self.counts = take("<u8", -(-symbols // MARK)).astype(np.int64), take(f"<u{width}", symbols), take("<u8", texts).astype(np.int64)
+        self.starts, self.lens, self.pool = _expansions(alphabet, sizes, left, right)
+        if not np.array_equal(self.lens[ids:], lens):
             raise ValueError("expansion lengths and rules differ")
-        self.lens = np.concatenate([np.ones(self.first, np.int64), lens.astype(np.int64)])
 
     def all(self) -> np.ndarray:
         return _expand(self.seq, self.starts, self.lens, self.pool)
 
     def ids(self, low: int, high: int) -> np.ndarray:
         """Ids low to high (without), from the symbols that cover them alone."""
-        ends = np.cumsum(self.lens[self.seq])
-        a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left") + 1
-        before = int(ends[a - 1]) if a else 0
-        return _expand(self.seq[a:b], self.starts, self.lens, self.pool)[low - before : high - before]
+        if low >= high:
+            return np.zeros(0, np.uint32)
+        a = int(np.searchsorted(self.marks, low, "right")) - 1
+        b = int(np.searchsorted(self.marks, high, "left"))
+        part = self.seq[a * MARK : b * MARK]
+        ends = self.marks[a] + np.cumsum(self.lens[part])
+        i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left") + 1
+        before = int(ends[i - 1]) if i else int(self.marks[a])
+        return _expand(part[i:j], self.starts, self.lens, self.pool)[low - before : high - before]
 
     def text(self, i: int) -> np.ndarray:
         low = int(self.counts[:i].sum())
@@ -155,14 +201,25 @@ def write_shards(df: DataFrame, file: str, end: int = END, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, shard = word_ids(file).encode, TaskContext.get().partitionId(), 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+        def done() -> pa.RecordBatch:
+            nonlocal shard
+            keys, ids, counts = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            held.clear()
+            keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            shard += 1
+            cols = [pa.array([part]), pa.array([shard - 1]), keys, pa.array([len(ids)]), pa.array([compress(ids, counts, end)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["part", "shard", "keys", "n_ids", "data"])
+
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for low, high in runs(texts):
-                ids, counts = encode(texts[low:high], end)
-                keys = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), b.column(0).slice(low, high - low))
-                cols = [pa.array([part]), pa.array([shard]), keys, pa.array([len(ids)]), pa.array([compress(ids, counts, end)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "shard", "keys", "n_ids", "data"])
-                shard += 1
+            for low, texts in parts(b.column(1)):
+                ids, counts = encode(texts, end)
+                held.append((b.column(0).slice(low, len(counts)), ids, counts))
+                if sum(len(x[1]) for x in held) >= SHARD_IDS:
+                    yield done()
+        if held:
+            yield done()
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the second column parts rows of one key; their order among themselves is free
