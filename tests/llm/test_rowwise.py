@@ -5,11 +5,13 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from sluice.llm import htmlmain, langid, media, tokencount, urltrie
+from sluice.llm.spans import Texts
 from sluice.llm.wordids import WordIds
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -96,7 +98,7 @@ def test_word_ids_equal_the_library(odd_texts):
     texts = [*odd_texts, *noise(1500, 2)]
     for low in range(0, len(texts), 400):
         part = texts[low : low + 400]
-        ids, counts = own.encode(part, 2)
+        ids, counts = own.encode(Texts(pa.array(part)), 2)
         want = [[*e.ids, 2] for e in whole.encode_batch([t or "" for t in part], add_special_tokens=False)]
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 

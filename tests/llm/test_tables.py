@@ -1,16 +1,19 @@
 """Jaccard join, decontamination, packing, sharding, Re-Pair shards and the pipeline."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sluice.llm import decontam, jaccard, packing, repair, sharding
+from sluice.llm.spans import Texts
 from sluice.llm.util import with_rank
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -101,6 +104,18 @@ def test_jaccard_edited_copy_beside_a_longer_document(spark):
     assert all(got[100 * i + 1] == 100 * i for i in range(8))
 
 
+def test_jaccard_of_a_passage_in_many_unlike_documents(spark, words):
+    """The pairs that are formed must not grow with the square of the documents that share a passage."""
+    rng = random.Random(12)
+    passage = [rng.choice(words) for _ in range(40)]
+    tails = [[rng.choice(words) + "z" * rng.randint(1, 3) for _ in range(3)] for _ in range(60)]
+    texts = [[*passage, *rng.choice(tails), str(i)] if i % 2 else [*passage, *(f"{rng.randrange(10**9)}" for _ in range(rng.randint(1, 5)))] for i in range(150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    want = plain_components(rows, 3, 90)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(i, n, c) for i, (n, c) in enumerate(want)]
+
+
 def test_jaccard_odd_rows(odd, odd_texts, empty):
     out = jaccard.jaccard_components(odd)
     keys = [None if i == 3 else 7 if i in (6, 7) else i for i in range(len(odd_texts))]
@@ -141,14 +156,14 @@ QUESTION = "If Mary has 3 apples and John Smith buys 3 kg of rice for 20 dollars
 def test_template_leaks():
     items = decontam.Items([(1, QUESTION), (2, "one two"), (3, ""), (4, "5 6 7")])
     other = QUESTION.replace("Mary", "Anna").replace("3", "7").replace("John Smith", "Pete").replace("20", "5,000").replace("dollars", "euros")
-    kinds = lambda t: [(x[0], x[5]) for x in items.leaks(t)]
+    kinds = lambda t: [(x[0], x[5]) for x in items.leaks_of(t)]
     assert kinds(f"Some words before. {QUESTION}\nand after") == [(1, "verbatim")]
     assert kinds(f"x {other} y") == [(1, "reparameterised")]
     assert kinds(QUESTION.replace("Mary has 3", "Mary has 9")) == []  # 3 stands for two numbers
     plain = "the cat sat on a mat near the old red door of a small house by the sea"
     words = decontam.Items([(9, plain)])
     edited = plain.replace("red", "blue")
-    assert [x[0] for t in (plain.upper(), edited, f"So {plain.capitalize()} then") for x in words.leaks(t)] == [9, 9, 9]
+    assert [x[0] for t in (plain.upper(), edited, f"So {plain.capitalize()} then") for x in words.leaks_of(t)] == [9, 9, 9]
     assert kinds("If Mary has 3 apples then all is well") == []
     assert kinds("") == [] and kinds("5 6 7") == []
 
@@ -159,9 +174,9 @@ def test_leaks_of_items_that_repeat_a_template():
     for text in (shop, total):
         items = decontam.Items([(1, text)])
         for doc in (text, f"Some words before. {text}. And after"):
-            assert [(x[0], x[3], x[5]) for x in items.leaks(doc)] == [(1, 1.0, "verbatim")]
+            assert [(x[0], x[3], x[5]) for x in items.leaks_of(doc)] == [(1, 1.0, "verbatim")]
         other = text.replace("3", "7").replace("12", "40").replace("Mary", "Anna")
-        assert [(x[0], x[3], x[5]) for x in items.leaks(other)] == [(1, 1.0, "reparameterised")]
+        assert [(x[0], x[3], x[5]) for x in items.leaks_of(other)] == [(1, 1.0, "reparameterised")]
 
 
 def test_leaks_agree_with_plain_search(spark, words):
@@ -183,10 +198,44 @@ def test_leaks_agree_with_plain_search(spark, words):
 
 
 def test_batch_hashes_equal_templates(odd_texts):
-    texts = [*odd_texts, "A b. C d\nE f! Gh Ij kl 3.5 kg", "Mr Smith Jones went. THE END", "x.Y z"]
-    flat, counts = decontam.TemplateHashes().tokens(texts)
-    assert flat.tolist() == [decontam._hash(t) for x in texts for t in decontam.template(x)[0]]
-    assert counts.tolist() == [len(decontam.template(x)[0]) for x in texts]
+    known = decontam.vocabulary_of(["Ask Mary or the quick fox. It is so.", "The Fox and The Hound"])
+    assert known["mary"] and known["hound"] and not known["the"] and not known["ask"]
+    texts = [*odd_texts, "A b. C d\nE f! Gh Ij kl 3.5 kg", "Mr Smith Jones went. THE END", "x.Y z", "Then Anna ran. Anna sat. Beth ran.\nBeth?\n- Anna", "MARY saw mary.\u00a0Mary\x85Ann", "a\n\n Fox. (So) Fox", "\n- Zoe met Zoe"]
+    for vocabulary in ({}, known):
+        flat, counts = decontam.TemplateHashes(vocabulary).tokens(Texts(pa.array(texts)))
+        assert flat.tolist() == [decontam._hash(t) for x in texts for t in decontam.template(x, vocabulary)[0]]
+        assert counts.tolist() == [len(decontam.template(x, vocabulary)[0]) for x in texts]
+
+
+def test_leaks_whatever_the_case():
+    item = "Yesterday Mary gave John 3 apples. Mary then asked how many apples John has if he eats 2 of them with his friend Sue before they walk home"
+    items = decontam.Items([(1, item)])
+    for doc in (item, item.upper(), item.lower(), item.title(), f"and so {item}"):
+        assert [(x[0], x[3], x[5]) for x in items.leaks_of(doc)] == [(1, 1.0, "verbatim")], doc
+    other = item.replace("Mary", "Olga").replace("John", "Piet").replace("Sue", "Ann").replace("3", "11")
+    assert [(x[0], x[3], x[5]) for x in items.leaks_of(other)] == [(1, 1.0, "reparameterised")]
+
+
+def test_a_long_run_of_a_long_item_is_a_leak(words):
+    rng = random.Random(3)
+    item = [rng.choice(words) + str(i) for i in range(500)]
+    item = [w.rstrip("0123456789") + "abcdefghij"[int(w[-1])] + "klmnopqrst"[i // 10 % 10] + "uvwxyz"[i // 100] for i, w in enumerate(item)]
+    items = decontam.Items([(1, " ".join(item))])
+    assert [x[2] for x in items.leaks_of(" ".join([*words[:50], *item[200:245], *words[50:90]]))] == [40]
+    assert items.leaks_of(" ".join([*words[:50], *item[200:244], *words[50:90]])) == []
+
+
+def test_repeated_windows_take_time_in_proportion(words):
+    rng = random.Random(4)
+    sentence = " ".join(rng.choice(words) for _ in range(12)) + " 3 boxes for 4 coins and 5 boxes for 6 coins."
+    items = decontam.Items([(1, sentence), (2, f"{sentence} {sentence} {sentence}"), (3, "spam " * 40)])
+    took = []
+    for n in (300, 2400):
+        doc = " ".join([sentence] * n + ["spam"] * n)
+        start = time.process_time()
+        assert sorted((x[0], x[3]) for x in items.leaks_of(doc)) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+        took.append(time.process_time() - start)
+    assert took[1] < 16 * took[0] + 1
 
 
 def test_leaks_odd_rows(spark, odd, empty):
@@ -265,6 +314,16 @@ def test_knapsack_and_plan_by_brute_force():
     assert packing.plan({}, 32) == []
 
 
+def test_short_texts_leave_little_padding(spark):
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choice(["a", "b c", "the end", "of it all"]) for _ in range(rng.randint(0, 6))) for i in range(9000)}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert check_packing(packing.pack(df, WORDS).collect(), texts, 4096) > 0.93
+    assert packing.pack(df.union(df.limit(40)), WORDS, limit=32).agg({"doc_tokens": "count"}).first()[0] >= 9040
+    with pytest.raises(ValueError):
+        packing.pack(df, WORDS, limit=100)
+
+
 def plain_best_fit(weights, capacity):
     bins = []
     for w in sorted(weights, reverse=True):
