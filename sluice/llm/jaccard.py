@@ -12,9 +12,11 @@ still reach the threshold:
    unmatched ones included: only those columns are multiplied.
 3. Every row is first compared with one centre of each of its columns. The links found make
    components, and the products of the remaining columns are formed only between rows that are
-   still in different components. Overlap counts accumulate per pair; pairs below the
-   bounds that follow from sizes, unmatched columns and the count are discarded; the others'
-   whole sets are intersected. Columns that the count misses come after the last one of the row
+   still in different components. In the first column that a pair shares, its overlap is at most
+   the columns that either row has left, so each row meets only rows of the sizes that this
+   overlap allows: a passage that many unlike documents hold makes no pairs of them all. Overlap
+   counts accumulate per pair; pairs below the bounds that follow from sizes and the count are
+   discarded; the others' whole sets are intersected. Columns that the count misses come after the last one of the row
    whose multiplied columns end first, so there are no more than that row has left.
 
 Every pair that links either has both rows in one component already or is compared, so the
@@ -32,57 +34,36 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import claim, discard, runs, saved, scratch, transient
+from .spans import LOWER, Texts, hashes, joined, mixed, parts
+from .util import claim, discard, saved, scratch, transient
 
-#: Keys that are sent to all executors at most; beyond it, a shuffle finds the rows.
-BROADCAST_KEYS = 2_000_000
-_MAX_WORDS = 600_000
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
+#: Bytes of keys that are sent to all executors at most; beyond it, a shuffle finds the rows.
+BROADCAST_BYTES = 48 << 20
 
-_hashes: dict[bytes, int] = {}
 
-
-def clear_hashes() -> None:
-    _hashes.clear()
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > _MAX_WORDS:
-        _hashes.clear()
-    out = np.fromiter(map(_hashes.get, words, repeat(0)), np.uint64, len(words))
-    if len(missing := np.flatnonzero(out == 0)):
-        for w in {words[i] for i in missing}:
-            _hashes[w] = xxhash.xxh3_64_intdigest(w) or 1
-        out[missing] = np.fromiter((_hashes[words[i]] for i in missing), np.uint64, len(missing))
-    return out
-
-
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: Texts, k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's k-word shingles, A-Z in lower case."""
-    parted = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    w = _word_hashes(list(chain.from_iterable(parted)))
-    mixed = np.zeros(max(0, len(w) - k + 1), np.uint64)
+    low = LOWER[texts.buf]
+    starts, ends = texts.words()
+    w = hashes(low, starts, ends)
+    h = np.zeros(max(0, len(w) - k + 1), np.uint64)
     for i in range(k):
-        x = w[i : i + len(mixed)]
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _M[0] + x * _M[1]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= _M[2]
-    mixed ^= mixed >> np.uint64(29)
+        h = joined(h, w[i : i + len(h)])
+    h = mixed(h).view(np.int64)
     out, at = [], 0
-    for words in parted:
-        n = len(words)
+    for n in texts.held(starts).tolist():
         if n >= k:
-            out.append(np.unique(mixed[at : at + n - k + 1].view(np.int64)))
+            out.append(np.unique(h[at : at + n - k + 1]))
         elif n:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64).view(np.int64))
+            words = b" ".join(low[starts[i] : ends[i]].tobytes() for i in range(at, at + n))
+            out.append(np.array([xxhash.xxh3_64_intdigest(words, seed=n)], np.uint64).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
         at += n
@@ -116,13 +97,12 @@ def _sets(df: DataFrame, key: str, text: str, k: int, keep: Callable[[np.ndarray
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("jaccard", clear_hashes)
+        claim("jaccard")
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for low, high in runs(texts):
-                sets = shingle_sets(texts[low:high], k)
+            for low, texts in parts(b.column(1)):
+                sets = shingle_sets(texts, k)
                 sizes, keys = pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())
-                ids = b.column(0).slice(low, high - low)
+                ids = b.column(0).slice(low, len(sets))
                 yield pa.RecordBatch.from_arrays([ids, sizes, keys, _arrays([keep(s) for s in sets])], [key, "n", "set", "grams"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, set binary, grams array<long>")
@@ -194,29 +174,45 @@ def _links(full: DataFrame, percent: int) -> DataFrame:
     _free(full)
 
     # (nid, component) of all rows; those without a link yet are components of their own
-    own = rows.select("nid", "cols").join(labels.select(F.col("node").alias("nid"), "component"), "nid", "left")
-    own = saved(own.select("nid", F.coalesce("component", "nid").alias("component"), F.explode("cols").alias("h")), "postings")
+    own = rows.select("nid", "n", "shared", "cols").join(labels.select(F.col("node").alias("nid"), "component"), "nid", "left")
+    own = own.select("nid", "n", "shared", F.coalesce("component", "nid").alias("component"), F.posexplode("cols").alias("pos", "h"))
+    own = saved(own.withColumn("reach", F.expr("shared - pos")).drop("shared", "pos"), "postings")
     held = own.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = held.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    mixed = saved(mixed.select("h", "major"), "mixed")
-    open_ = saved(own.join(mixed, "h").join(rows, "nid"), "postings")
-    one = open_.where("component != major").select("h", F.col("nid").alias("a"), "n", "shared", "rest", "last", "cols", F.col("component").alias("ca"))
+    mixed_ = held.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    mixed_ = saved(mixed_.select("h", "major"), "mixed")
+    # in the first column that a pair shares, no row has more than reach columns left to share: so the sizes of its partners lie between least and most
+    open_ = own.join(mixed_, "h").withColumns({"least": F.expr(f"({percent} * n + 99) div 100"), "most": F.expr(f"reach * (100 + {percent}) div {percent} - n")})
+    open_ = saved(open_.where("least <= most"), "postings")
+    one = open_.where("component != major").select("h", F.col("nid").alias("a"), "n", "least", "most", F.col("component").alias("ca"), F.explode(F.sequence(_band("least"), _band("most"))).alias("band"))
     two = open_.select(
-        "h", F.col("nid").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("shared2"),
-        F.col("rest").alias("rest2"), F.col("last").alias("last2"), F.col("cols").alias("cols2"), F.col("component").alias("cb"), "major",
+        F.col("h").alias("h2"), F.col("nid").alias("b"), F.col("n").alias("n2"), F.col("least").alias("least2"), F.col("most").alias("most2"),
+        F.col("component").alias("cb"), "major", _band("n").alias("band2"),
     )
-    # each pair is formed in the first column that both rows hold, with its overlap count over all columns that are multiplied
-    common = F.array_intersect("cols", "cols2")
-    fits = F.expr("ca != cb and (cb = major or a < b)") & F.expr(join.bounded("least(shared, shared2)"))
+    fits = F.expr("h = h2 and band = band2 and n2 between least and most and n between least2 and most2 and ca != cb and (cb = major or a < b)")
+    pairs = one.join(two, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the pair's overlap count over all columns that are multiplied, and what the row whose columns end first has left beside
+    left = rows.select(F.col("nid").alias("a"), "n", "rest", "last", "cols")
+    right = rows.select(F.col("nid").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("last").alias("last2"), F.col("cols").alias("cols2"))
     reach = "size(array_intersect(cols, cols2)) + if(last <= last2, rest, rest2)"
-    fits = fits & (F.element_at(common, 1) == F.col("h")) & F.expr(join.bounded(reach))
-    pairs = one.join(two.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & fits)
-    more = join.verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = pairs.join(left, "a").join(right, "b").where(join.bounded(reach)).select("a", "b")
+    more = join.verified(pairs)
     if more.limit(1).count():
         labels = components(links.union(more))
     return labels
 
 
+def _band(size: str) -> Column:
+    """A number for sizes that are alike: each up to 64, from there on about one in a hundred."""
+    return F.expr(f"if({size} < 64, int({size}), 64 + int(floor(100 * ln({size} / 64.0D))))")
+
+
+def _small(keys: DataFrame) -> bool:
+    """Whether the keys of the only column may be broadcast: by their count and, for strings, their bytes."""
+    name = keys.columns[0]
+    bytes_ = F.sum(F.octet_length(F.col(name).cast("string")) + 32)
+    return (keys.agg(bytes_.alias("b")).first()["b"] or 0) <= BROADCAST_BYTES
+
+
 def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row, for links of at least ``percent`` per cent Jaccard."""
     spark = df.sparkSession
@@ -242,7 +238,7 @@ def jaccard_components(df: DataFrame, k: int = 3, percent: int = 90, key: str =
         _free(df)
 
         picked = left.select(F.col("rep").alias("_rep")).distinct()
-        picked = F.broadcast(picked) if left.count() <= BROADCAST_KEYS else picked
+        picked = F.broadcast(picked) if _small(picked) else picked
         rows = df.select(key, text).join(picked, F.col(key).eqNullSafe(F.col("_rep")), "left_semi")
         sets = _sets(rows, key, text, k, lambda s: s).join(left.select("set"), "set", "left_semi")
         full = sets.groupBy("set").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
@@ -263,7 +259,7 @@ def one_of_each(df: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     """
     found = saved(jaccard_components(df, k, percent, key, text), "jaccard-components")
     drop = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_drop")).distinct()
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop
+    drop = F.broadcast(drop) if _small(drop) else drop
     kept = df.join(drop, F.col(key) == F.col("_drop"), "left_anti")
     repeated = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     if repeated.limit(1).count():

@@ -25,6 +25,21 @@ _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
+LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 4
+#: Second bytes of the UTF-8 letters from U+00C0 to U+00FF.
+_LATIN = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+
+
+def classes(other: bytes) -> np.ndarray:
+    """The class of each byte, 0 for white space; OTHER for those given and all that are not ASCII."""
+    out = np.full(256, OTHER, np.uint8)
+    out[33:127] = SIGN
+    out[[*range(65, 91), *range(97, 123)]] = LETTER
+    out[48:58] = DIGIT
+    out[[*other]] = OTHER
+    out[SPACE] = 0
+    return out
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
@@ -66,6 +81,29 @@ class Texts:
         before, after, edge = inside[:-1], inside[1:], self.edges()
         return np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
 
+    def kinds(self, of: np.ndarray) -> np.ndarray:
+        """The class of each byte: LETTER for Latin-1 letters too, OTHER for all of a word that holds such a byte."""
+        buf, kind = self.buf, of[self.buf[: self.size]]
+        lead = np.flatnonzero(buf[: self.size] == 0xC3)
+        lead = lead[_LATIN[buf[lead + 1]]]
+        kind[lead] = kind[lead + 1] = LETTER
+        bad = np.flatnonzero(kind == OTHER)
+        if len(bad):
+            starts, ends = self.words()
+            word = np.unique(np.searchsorted(starts, bad, "right") - 1)
+            lens = ends[word] - starts[word]
+            upto = np.cumsum(lens)
+            kind[np.repeat(starts[word] - (upto - lens), lens) + np.arange(upto[-1])] = OTHER
+        return kind
+
+    def runs(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of one class in words begin and end; each digit is a run."""
+        around = np.zeros(self.size + 2, np.uint8)
+        around[1:-1] = kind
+        before, after = around[:-1], around[1:]
+        cut = (before != after) | (before == DIGIT) | self.edges()
+        return np.flatnonzero(cut & (after > 0)), np.flatnonzero(cut & (before > 0))
+
     def held(self, starts: np.ndarray) -> np.ndarray:
         """How many of the ascending ``starts`` lie in each text."""
         return np.diff(np.searchsorted(starts, self.bounds))

@@ -15,28 +15,15 @@ from itertools import chain
 
 import numpy as np
 
-from .spans import LOWER, SPACE, Numbers, Texts
+from .spans import LETTER, LOWER, OTHER, Numbers, Texts, classes
 from .util import claim
 
 #: Distinct parts, pooled ids and bytes of long parts of a worker; beyond any of them the pool starts anew.
 MAX_PARTS, MAX_IDS, MAX_LONG = 1 << 20, 8_000_000, 4_000_000
 _JOINED = 2048
-_LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 4
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, _OTHER, np.uint8)
-    out[33:127] = _SIGN
-    out[[*range(65, 91), *range(97, 123)]] = _LETTER
-    out[48:58] = _DIGIT
-    out[[39, 60]] = _OTHER  # apostrophes begin words of their own, < special tokens
-    out[SPACE] = 0
-    return out
-
-
-_CLASS = _classes()
-#: Second bytes of the letters from U+00C0 to U+00FF, and of the capitals among them.
-_LATIN = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+#: Apostrophes begin words of their own, < special tokens.
+_CLASS = classes(b"'<")
+#: Second bytes of the capitals from U+00C0 to U+00DE.
 _CAPITAL = np.isin(np.arange(256), [b for b in range(0x80, 0x9F) if b != 0x97])
 
 
@@ -112,38 +99,23 @@ class WordIds:
         self._append(ids, lens)
 
     @staticmethod
-    def _parted(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The class of each byte, one for all of a chunk that the library must part; and all bytes, in lower case elsewhere."""
-        n = texts.size
-        buf = texts.buf
-        kind, low = _CLASS[buf[:n]], LOWER[buf]
-        lead = np.flatnonzero(buf[:n] == 0xC3)
-        lead = lead[_LATIN[buf[lead + 1]]]
-        kind[lead] = kind[lead + 1] = _LETTER
-        capital = lead[_CAPITAL[buf[lead + 1]]] + 1
-        low[capital] += 32
-        bad = np.flatnonzero(kind == _OTHER)
-        if len(bad):
-            starts, ends = texts.words()
-            chunk = np.unique(np.searchsorted(starts, bad, "right") - 1)
-            lens = ends[chunk] - starts[chunk]
-            upto = np.cumsum(lens)
-            whole = np.repeat(starts[chunk] - (upto - lens), lens) + np.arange(upto[-1])
-            kind[whole] = _OTHER
-            low[whole] = buf[whole]
-        return kind, low
+    def _lowered(texts: Texts, kind: np.ndarray) -> np.ndarray:
+        """The bytes in lower case, but for words that the library must part."""
+        low = LOWER[texts.buf]
+        lead = np.flatnonzero((texts.buf[: texts.size] == 0xC3) & (kind == LETTER))
+        low[lead[_CAPITAL[texts.buf[lead + 1]]] + 1] += 32
+        other = np.flatnonzero(kind == OTHER)
+        low[other] = texts.buf[other]
+        return low
 
     def encode(self, texts: Texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with ``end`` after it, and the number of ids of each text."""
         if self.numbers.entries > MAX_PARTS or self.used > MAX_IDS or self.numbers.long_bytes > MAX_LONG:
             self._clear()
-        kind, low = self._parted(texts)
-        around = np.zeros(texts.size + 2, np.uint8)
-        around[1:-1] = kind
-        before, after = around[:-1], around[1:]
-        cut = (before != after) | (before == _DIGIT) | texts.edges()
-        starts, ends = np.flatnonzero(cut & (after > 0)), np.flatnonzero(cut & (before > 0))
-        at = self.numbers.of(low, starts, ends, lambda reps, parts: self._learn(parts, kind[starts[reps]] == _OTHER))
+        kind = texts.kinds(_CLASS)
+        low = self._lowered(texts, kind)
+        starts, ends = texts.runs(kind)
+        at = self.numbers.of(low, starts, ends, lambda reps, parts: self._learn(parts, kind[starts[reps]] == OTHER))
         lens = self.lens[at]
         upto = np.cumsum(lens, dtype=np.int64)
         place = np.repeat(self.starts[at] - (upto - lens), lens)
