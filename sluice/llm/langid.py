@@ -1,10 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of every labelled row per language on the cluster and brings one
-count per language and bucket to the driver (at most MAX_LANGS x BUCKETS numbers). The
-log-probability matrix is broadcast; batches of texts are scored as sparse rows: the concatenated
+count per language and bucket to the driver: at most MAX_LANGS x BUCKETS numbers, since the labels are
+counted on the cluster first and more of them are refused. Workers hold counts of HELD_LANGS languages at
+a time. The log-probability matrix is broadcast; batches of texts are scored as sparse rows: the concatenated
 bucket numbers index the matrix and are summed per text. Long texts are taken in blocks, whole.
 
+The score is the posterior of the best language; on whole texts it is next to 1 even where no language
+fits. ``lift`` is the mean log-probability of a text's n-grams in its best language less that of buckets drawn
+evenly: below 0 the text is less like the language than chance.
+
 A null text, or one without a letter, is ``und`` with score 0; so is every text if there is no
 labelled row. Rows with a null label are not learned from. Equal best scores take the first
 language by name. Rows whose held-out mark is null are neither held out nor learned from.
@@ -27,7 +32,7 @@ UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 BITS = 16
 BUCKETS = 1 << BITS
-MAX_LANGS = 512
+MAX_LANGS, HELD_LANGS = 512, 32
 SMOOTHING = 0.5
 #: Code points that are hashed at a time.
 BLOCK = 1 << 18
@@ -75,13 +80,13 @@ class Model:
     logp: np.ndarray  # buckets x languages, float32
     prior: np.ndarray
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The best language of each text and its posterior probability."""
-        names, probs = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The best language of each text, its posterior probability, and its lift over chance."""
+        names, probs, lifts = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.langs:
-            return names, probs
+            return names, probs, lifts
         rows = [i for i, t in enumerate(texts) if has_letter(t)]
-        total = np.tile(self.prior, (len(rows), 1))
+        total, grams = np.tile(self.prior, (len(rows), 1)), np.zeros(len(rows))
         parts, owner, held = [], [], 0
 
         def flush() -> None:
@@ -99,6 +104,7 @@ class Model:
                 if len(h):
                     parts.append(h)
                     owner.append(k)
+                    grams[k] += len(h)
                     held += len(h)
                     if held >= 2 * BLOCK:
                         flush()
@@ -106,9 +112,10 @@ class Model:
         if rows:
             best = total.argmax(axis=1)
             post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            lift = (total[np.arange(len(rows)), best] - self.prior[best]) / grams + np.log(BUCKETS)
             for k, i in enumerate(rows):
-                names[i], probs[i] = self.langs[best[k]], float(post[k])
-        return names, probs
+                names[i], probs[i], lifts[i] = self.langs[best[k]], float(post[k]), float(lift[k])
+        return names, probs, lifts
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
@@ -123,10 +130,23 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
         def add(lang: str) -> None:
             counts[lang] += np.bincount(np.concatenate(pending.pop(lang)), minlength=BUCKETS)
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang in [*pending]:
+                add(lang)
+            for lang, c in counts.items():
+                at = np.flatnonzero(c)
+                at, c = np.append(at, -1), np.append(c[at], docs[lang])
+                names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(at), np.int32)), pa.array([lang])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(at.astype(np.int32)), pa.array(c)], ["lang", "bucket", "n"])
+            counts.clear()
+            docs.clear()
+
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if lang is None or not has_letter(t):
                     continue
+                if lang not in counts and len(counts) >= HELD_LANGS:
+                    yield from counted()
                 counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 docs[lang] = docs.get(lang, 0) + 1
                 for h in _buckets_of(t):
@@ -135,19 +155,16 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
                         add(lang)
             for lang in [*pending]:
                 add(lang)
-        for lang, c in counts.items():
-            at = np.flatnonzero(c)
-            at, c = np.append(at, -1), np.append(c[at], docs[lang])
-            names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(at), np.int32)), pa.array([lang])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([names, pa.array(at.astype(np.int32)), pa.array(c)], ["lang", "bucket", "n"])
+        yield from counted()
 
     rows = df.select(F.col(label).cast("string").alias("lang"), text).where(F.col("lang").isNotNull())
+    n_langs = rows.select("lang").distinct().count()
+    if n_langs > MAX_LANGS:
+        raise ValueError(f"{n_langs} languages; the matrix is broadcast for at most {MAX_LANGS}")
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     names = np.array(found.column("lang").to_pylist(), dtype=object)
     langs = tuple(sorted(set(names)))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the matrix is broadcast for at most {MAX_LANGS}")
     place = {x: i for i, x in enumerate(langs)}
     counts, docs = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
     col = np.array([place[x] for x in names], dtype=np.intp)
@@ -166,22 +183,22 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
         for b in batches:
-            names, probs = sent.value.score(b.column(b.num_columns - 1).to_pylist())
+            names, probs, _ = sent.value.score(b.column(b.num_columns - 1).to_pylist())
             cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(probs, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [key, *carry, "lang_pred", "score"])
 
     return df.select(key, *carry, text).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def known(df: DataFrame, model: Model, min_score: float, text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose text has a language of at least ``min_score``."""
+def known(df: DataFrame, model: Model, min_lift: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language of at least ``min_lift``."""
     sent, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
         for b in batches:
-            names, probs = sent.value.score(b.column(place).to_pylist())
-            yield b.filter(pa.array([n != UNKNOWN and p >= min_score for n, p in zip(names, probs, strict=True)], pa.bool_()))
+            names, _, lifts = sent.value.score(b.column(place).to_pylist())
+            yield b.filter(pa.array([n != UNKNOWN and x >= min_lift for n, x in zip(names, lifts, strict=True)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -3,8 +3,9 @@
 ``ogg_store`` writes each text as 8-bit samples into an Ogg file of two multiplexed logical
 streams; ``ogg_read`` verifies and reads any such files back. Only the key and the payload
 column are read, so further columns, whatever their names, are ignored. A null or empty text is
-64 zero samples. A null media value gives null results; damaged media raise ``ValueError``.
-Equal texts give equal files: nothing in them depends on the key.
+64 zero samples; a text of any length is stored whole. A null media value gives null results; so do damaged media,
+with what is wrong with them in ``problem``. Repeated rows and null keys are rows like others, and equal texts give
+equal files: nothing in them depends on the key. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -213,25 +214,26 @@ def ogg_store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def ogg_read(df: DataFrame, key: str = "doc_id", media: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, carried columns, payload figures, media figures, feature) of each Ogg file."""
+    """(key, carried columns, payload figures, media figures, feature, problem) of each Ogg file."""
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *carry))
-    names = [key, *carry, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [key, *carry, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "problem"]
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 6
-        payload, feature = decode(data)
-        return (
-            len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]),
-            len(data), hashlib.sha256(data).hexdigest(), feature,
-        )
+            return (None,) * 7
+        whole = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            payload, feature = decode(data)
+        except (ValueError, struct.error, IndexError) as e:
+            return None, None, None, *whole, None, str(e)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]), *whole, feature, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for b in batches:
             rows = [one(x.as_py()) for x in b.column(b.num_columns - 1)]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names)
 
-    out = fields + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out = fields + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, problem string"
     return df.select(key, *carry, media).mapInArrow(run, out)

@@ -89,5 +89,22 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hit
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reached(node, least) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT b, least FROM reached JOIN links ON a = node WHERE least < b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(least) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reached r ON r.node = d.doc_id GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_trie": OP7_SQL}
+    return {"op5_ngram_jaccard": OP5_SQL, "op7_url_trie": OP7_SQL}

@@ -162,6 +162,7 @@ def shard_by_bytes(df: DataFrame, shards: int | None = None, capacity: int | Non
             (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(F.md5(raw), F.lit("null")).alias("_text"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "shard-rows",
     )
@@ -182,5 +183,5 @@ def shard_by_bytes(df: DataFrame, shards: int | None = None, capacity: int | Non
     ranked = with_rank(groups, "_cls", F.col("_text"), ["_text"], "_rank")
     of = ranked.join(plan, (F.col("_cls") == F.col("_c")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     dealt = base.join(of.select(F.col("_text").alias("_t"), "shard"), F.col("_text") == F.col("_t"))
-    out = with_rank(dealt, "shard", F.struct(F.col(key), F.col("_text")), [key, "_text"], "slot")
+    out = with_rank(dealt, "shard", F.col("_row"), ["_row"], "slot")
     return out.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -4,7 +4,9 @@ The lowest-rank adjacent pair is popped again and again and merged; the count is
 initial symbols less the number of merges, and no identifiers are made. A character outside the
 vocabulary is as many symbols as it has UTF-8 bytes. Texts are cut only between characters that
 no vocabulary piece holds side by side, so no merge can cross a cut; the counts of recurring
-chunks are kept in bounded caches. Null and empty texts have no tokens.
+chunks are kept in bounded caches. Null and empty texts have no tokens; very long texts are counted whole; equal
+ranks merge from the left. Repeated rows and null keys are rows like others; an empty table gives an empty one; columns
+other than key and text are ignored.
 """
 
 from __future__ import annotations

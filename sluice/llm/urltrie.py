@@ -38,7 +38,8 @@ def split_url(url: str | None) -> tuple[str, str]:
 class Trie:
     """Nodes are [edges, paths]: edges by host label from the right; paths is the root of a path trie.
 
-    Path nodes are [edges by complete segment, {rest of the rule after its last slash: (rule, verdict)}].
+    Path nodes are [edges by complete segment, {rest of the rule after its last slash: (rule, verdict)}, lengths of these
+    rests, longest first]: a rest is looked up by the beginnings of the url's segment that have one of the lengths.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -55,11 +56,14 @@ class Trie:
             for label in reversed(host.split(".")):
                 node = node[0].setdefault(label, [{}, None])
             if node[1] is None:
-                node[1] = [{}, {}]
+                node[1] = [{}, {}, []]
             at = node[1]
             *whole, rest = path.split("/")
             for segment in whole:
-                at = at[0].setdefault(segment, [{}, {}])
+                at = at[0].setdefault(segment, [{}, {}, []])
+            if len(rest) not in at[2]:
+                at[2].append(len(rest))
+                at[2].sort(reverse=True)
             if rest not in at[1] or verdict == BLOCK:
                 at[1][rest] = (host + path, verdict)
 
@@ -67,11 +71,10 @@ class Trie:
     def _path(node: list, path: str) -> tuple[str, str] | None:
         best, segments = None, path.split("/")
         for i, segment in enumerate(segments):
-            if node[1]:
-                left = "/".join(segments[i:])
-                fits = [r for r in node[1] if left.startswith(r)]
-                if fits:
-                    best = node[1][max(fits, key=len)]
+            for n in node[2]:
+                if n <= len(segment) and (found := node[1].get(segment[:n])):
+                    best = found
+                    break
             if i == len(segments) - 1:
                 break
             node = node[0].get(segment)

@@ -37,30 +37,25 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names, which driver and executors share."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    What is there is deleted when the application ends, unless ``discard`` or ``transient`` has done so before.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{tag}-{uuid.uuid4().hex}"
+    path = f"{top}/{tag}-{uuid.uuid4().hex}"
+    _files(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _files(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def runs(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Cut a batch into slices of about ``most`` characters, of one text at least."""
-    low = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= most:
-            yield low, i + 1
-            low, held = i + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+def discard(spark: SparkSession, path: str) -> None:
+    _files(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 _transient: list[list[str]] = []
@@ -88,14 +83,14 @@ def saved(df: DataFrame, tag: str = "", at: str = "", keep: bool = False) -> Dat
 
 
 def salts(spark: SparkSession) -> int:
-    return min(65536, 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return min(65536, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def with_rank(df: DataFrame, key: str, spread: Column, order: list, name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... without gaps in each value of ``key``.
 
     A key may hold most rows, so rows are numbered in (key, salt) groups, and the group's start
-    comes from the counts of the salts before it. ``spread`` chooses the salt.
+    comes from the counts of the salts before it. ``spread`` chooses the salt: it should differ between rows.
     """
     n = salts(df.sparkSession)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(n)))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import public_tokenizers
@@ -73,6 +74,16 @@ def test_ogg_query(odd, odd_texts, empty):
     assert media.ogg_read(media.ogg_store(empty)).count() == 0
 
 
+def test_damaged_media_are_rows(spark):
+    good = media.encode(bytes(640))
+    bad = bytearray(good)
+    bad[-1] ^= 1
+    rows = spark.createDataFrame([(1, good), (2, bytearray(bad)), (3, None), (4, good[:-3]), (5, b"")], "doc_id long, media binary")
+    found = {r["doc_id"]: (r["payload_bytes"], r["media_bytes"], r["problem"] is None) for r in media.ogg_read(rows).collect()}
+    assert found[1] == (640, len(good), True) and found[3] == (None, None, True)
+    assert found[2] == (None, len(bad), False) and found[4][0] is None and not found[4][2]
+
+
 def noise(n, seed=1):
     rng = random.Random(seed)
     letters = "aebcé ▁\t\n<>|'’sS0١中\U0001f600\x00\x1cßÀ,.!" + chr(0x301) + chr(0x3A3) + chr(0x130)
@@ -128,7 +139,8 @@ def test_language_scores_by_brute_force(spark):
     for t in ("ab", "cda", "acbd"):
         total = {lang: prior[lang] + sum(logp(lang, g) for g in grams(t)) for lang in counts}
         best = max(total, key=total.get)
-        (name,), (score,) = model.score([t])
+        (name,), (score,), (lift,) = model.score([t])
+        assert lift == pytest.approx((total[best] - prior[best]) / len(grams(t)) + math.log(langid.BUCKETS), abs=1e-4)
         assert name == best and score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), abs=1e-4)
 
 
@@ -148,10 +160,30 @@ def test_language_odd_rows(odd, odd_texts, empty):
         assert (r["lang_pred"] == "und") == (not any(map(str.isalpha, t or ""))) and (r["lang_pred"] in ("und", "en"))
     none = langid.train(empty)
     assert none.langs == () and {r["lang_pred"] for r in langid.predict(odd, none).collect()} == {"und"}
-    kept = langid.known(odd, model, 0.5)
+    kept = langid.known(odd, model, -100.0)
     assert kept.columns == odd.columns and kept.count() == sum(any(map(str.isalpha, t or "")) for t in odd_texts)
 
 
+def test_texts_of_no_learned_language(spark):
+    docs = documents(spark)
+    model = langid.train(docs)
+    others = spark.createDataFrame([(1, chr(0x4E2D) + chr(0x6587) * 30), (2, "".join(map(chr, range(0x410, 0x440))) * 4)], "doc_id long, text string")
+    assert langid.known(others, model).count() == 0
+    assert langid.known(docs, model).count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
+def test_many_labels(spark, monkeypatch):
+    rows = [(i, "ab" * (i % 5 + 1), f"l{i % 40}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.train(df)
+    monkeypatch.setattr(langid, "HELD_LANGS", 3)
+    parted = langid.train(df)
+    assert whole.langs == parted.langs and (whole.logp == parted.logp).all() and (whole.prior == parted.prior).all()
+    monkeypatch.setattr(langid, "MAX_LANGS", 39)
+    with pytest.raises(ValueError, match="40 languages"):
+        langid.train(df)
+
+
 def test_field_decodes_as_brute_force():
     from itertools import product
 
@@ -246,3 +278,14 @@ def test_urls_agree_with_plain_matching(spark):
             urltrie.Trie(bad)
     both = urltrie.Trie([("block", "a", "/"), ("allow", "a", "/")])
     assert both.find("x.a", "/q") == ("a/", "block")
+
+
+def test_many_rules_on_one_host():
+    rng = random.Random(7)
+    rules = {f"/p/{rng.randrange(10**9):x}" for _ in range(50_000)}
+    trie = urltrie.Trie([*(("block", "a.com", r) for r in rules), ("allow", "a.com", "/p/")])
+    start = time.process_time()
+    for r in sorted(rules)[:5000]:
+        assert trie.find("b.a.com", r + "zz")[1] == "block"
+        assert trie.find("a.com", "/p/-" + r) == ("a.com/p/", "allow")
+    assert time.process_time() - start < 2
