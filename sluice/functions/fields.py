@@ -8,7 +8,7 @@ each record, with the text of numbers as it was written.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,22 @@ from .. import gotext
 from . import paths
 
 STRING, NUMBER, BOOL, NULL, OTHER = "string", "number", "bool", "null", "other"
-_NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+_NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL")
+
+
+def _kinds() -> Column:
+    known = {"STRING": STRING, "BOOLEAN": BOOL, "VOID": NULL} | dict.fromkeys(_NUMBERS, NUMBER)
+    return F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+
+
+def bound(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a value that is evaluated once, however often the result names it."""
+    return F.get(F.transform(F.array(value), result), 0)
+
+
+def literals(rows: Iterable[Column]) -> Column:
+    """Constants in an array, which Spark folds to one literal while the query is planned."""
+    return F.array(*rows)
 
 
 class VariantFields:
@@ -46,28 +61,27 @@ class VariantFields:
 
     def kind(self, path: str) -> Column:
         """One of the kinds above; null where there is no value."""
-        of = F.schema_of_variant(self._get(path, "variant"))
-        return (
-            F.when(of == "STRING", STRING).when(of == "BOOLEAN", BOOL).when(of.rlike(_NUMBERS), NUMBER)
-            .when(of == "VOID", NULL).when(of.isNotNull(), OTHER)
-        )
+        of = F.substring_index(F.schema_of_variant(self._get(path, "variant")), "(", 1)
+        return bound(of, lambda t: F.when(t.isNotNull(), F.coalesce(F.element_at(_kinds(), t), F.lit(OTHER))))
 
     def text(self, path: str) -> Column:
         """A scalar as text; null for other values and none."""
-        of = F.schema_of_variant(self._get(path, "variant"))
-        scalar = (of == "STRING") | (of == "BOOLEAN") | of.rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL)")
-        double = self._get(path, "double")
-        whole = (F.abs(double) < 1e15) & (double == F.floor(double))
-        return (
-            F.when(scalar, self._get(path, "string"))
-            .when(of.rlike("^(DOUBLE|FLOAT)") & whole, double.cast("long").cast("string"))
-            .when(of.rlike("^(DOUBLE|FLOAT)"), self._get(path, "string"))
-        )
+
+        def shown(v: Column) -> Column:
+            plain = F.try_variant_get(v, "$", "string")
+            return bound(
+                F.struct(F.substring_index(F.schema_of_variant(v), "(", 1).alias("t"), F.try_variant_get(v, "$", "double").alias("n")),
+                lambda x: F.when(x["t"].isin("DOUBLE", "FLOAT") & (F.abs(x["n"]) < 1e15) & (x["n"] == F.floor(x["n"])), x["n"].cast("long").cast("string"))
+                .when(x["t"].isin("STRING", "BOOLEAN", *_NUMBERS), plain),
+            )
+
+        return bound(self._get(path, "variant"), lambda v: F.when(v.isNotNull(), shown(v)))
 
     def number(self, path: str) -> Column:
         """A finite number; null for other values, numeric strings and numbers beyond double."""
-        value = F.when(F.schema_of_variant(self._get(path, "variant")).rlike(_NUMBERS), self._get(path, "double"))
-        return F.when(F.abs(value) < float("inf"), value)
+        finite = lambda n: F.when(F.abs(n) < float("inf"), n)
+        numeric = lambda v: F.substring_index(F.schema_of_variant(v), "(", 1).isin(*_NUMBERS)
+        return bound(self._get(path, "variant"), lambda v: F.when(numeric(v), bound(F.try_variant_get(v, "$", "double"), finite)))
 
 
 class ColumnFields:

@@ -40,13 +40,12 @@ def json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(valid, escaped(text)).otherwise(mended), F.lit('"'))
 
 
+_TABLE = {ord(c): e for c, e in _escapes()} | dict.fromkeys(range(0xDC80, 0xDD00), "\\ufffd")
+
+
 def json_text(text: str) -> str:
-    """A string as a JSON literal, in Python."""
-    out = []
-    table = dict(_escapes())
-    for c in text:
-        out.append("\\ufffd" if 0xDC80 <= ord(c) <= 0xDCFF else table.get(c, c))
-    return '"' + "".join(out) + '"'
+    """A string as a JSON literal, in Python; surrogates stand for bad bytes."""
+    return '"' + text.translate(_TABLE) + '"'
 
 
 def json_value(value: object) -> str:
@@ -83,19 +82,20 @@ def _exact_fields(data: pa.Array) -> pa.Array:
     return pa.array([None if x is None else json_value(v) if (v := parse_exact(x)) else None for x in data.to_pylist()], pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def _json_number(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else gotext.json_number(v) for v in x.to_pylist()], pa.string())
-
-
 def confidence_text(confidence: Column, known: list[float]) -> Column:
-    """A confidence as a JSON number. known: values that occur, rendered while the query is planned."""
+    """A confidence as a JSON number. known: values that occur, rendered while the query is planned.
+
+    Others are as Spark writes them, without a last ``.0``; its exponents become digits, but for values below 1e-6.
+    """
     out = F.when(confidence.isNull(), "0")
     for x in known:
         out = out.when(confidence == x, gotext.json_number(x))
-    fixed = F.regexp_replace(F.format_string("%.17f", confidence), r"\.?0+$", "")
-    shortest = F.when(confidence.cast("string").rlike(r"^[0-9]+\.[0-9]+$"), F.regexp_replace(confidence.cast("string"), r"\.0$", ""))
-    return out.otherwise(F.coalesce(shortest, fixed))
+    shown = confidence.cast("string")
+    plain = F.regexp_replace(shown, r"\.0$", "")
+    head, power = F.regexp_replace(F.substring_index(shown, "E", 1), r"\.0$", ""), F.substring_index(shown, "E-", -1)
+    small = F.concat(head, F.lit("e-"), power)
+    fixed = F.concat(F.lit("0."), F.repeat(F.lit("0"), power.cast("int") - 1), F.replace(head, F.lit(".")))
+    return out.when(~F.contains(shown, F.lit("E")), plain).when(F.abs(confidence) < 1e-6, small).otherwise(fixed)
 
 
 def wire_line(known_confidences: list[float] = (0.0, 1.0), exact: bool = False) -> Column:

@@ -34,13 +34,28 @@ KINDS = ("", "text", "log", "event", "record", "json")
 INPUT, LINE = "_input", "_line"
 
 
-class StageError(Exception):
+class RunError(Exception):
+    """What ends a run; ``str`` says in which part."""
+
+
+class StageError(RunError):
     """A stage failed on a record, or broke its promise of a well-formed decision."""
 
     def __init__(self, stage: str, cause: str):
-        super().__init__(f"stage {stage}: {cause}")
+        super().__init__(f"engine: stage {stage}: {cause}")
         self.stage, self.cause = stage, cause
 
 
-class SourceError(Exception):
+class SourceError(RunError):
     """A line that can't be read as a record."""
+
+    def __init__(self, cause: str):
+        super().__init__(f"engine: source: {cause}")
+
+
+class SinkError(RunError):
+    """A sink, or the review sink, could not write."""
+
+    def __init__(self, part: str, cause: Exception):
+        super().__init__(f"engine: {part}: {cause}")
+        self.cause = cause

@@ -32,6 +32,11 @@ def _unwrap(stage) -> tuple[ColumnStage | RowStage, list[float]]:
     return stage, gates
 
 
+def paths_of(stages: Sequence) -> set[str]:
+    """The field paths that the stages read."""
+    return {p for s in stages for p in getattr(_unwrap(s)[0], "paths", ())}
+
+
 def _error(stage: str, message: Column) -> Column:
     return F.struct(F.lit(stage).alias("stage"), F.concat(F.lit(f"stage {stage}: "), message).alias("message"))
 

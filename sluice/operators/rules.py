@@ -144,6 +144,8 @@ class RulesStage(ColumnStage):
         if not rules:
             raise ValueError("rules: at least one rule is required")
         self.rules = [self._compile(i, r) for i, r in enumerate(rules, 1)]
+        every = (f for r in rules for f in (*r.fields, *(m.field for m in (*r.any, *r.all))))
+        self.paths = frozenset(f.path for f in every if f is not None)
 
     @staticmethod
     def _compile(i: int, r: Rule) -> _Compiled:

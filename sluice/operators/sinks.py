@@ -29,11 +29,13 @@ class JsonLines:
 
     out: IO[str]
     exact: bool = False
+    written: int = 0
 
     def write(self, df: DataFrame) -> None:
         lines = in_order(df.select(*(c for c in (INPUT, LINE) if c in df.columns), wire_line(list(KNOWN), self.exact).alias("line")))
         for row in lines.select("line").toLocalIterator():
             self.out.write(row["line"] + "\n")
+            self.written += 1
         self.out.flush()
 
 

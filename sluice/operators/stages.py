@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import gotext
-from ..functions.fields import ColumnFields, ExactFields, VariantFields
+from ..functions.fields import ColumnFields, ExactFields, VariantFields, literals
 from ..model import DECISION
 
 Reasons = list[tuple[str, str]]
@@ -66,12 +66,18 @@ def decision(category: str, confidence: float, stage: str, reasons: Reasons, lea
 
 
 def first_hit(cases: Iterable[tuple[Column, Column]], default: Column | None = None) -> Column:
-    out = None
-    for hit, result in cases:
-        out = F.when(hit, result) if out is None else out.when(hit, result)
-    if out is None:
-        return default if default is not None else F.lit(None).cast(DECISION)
-    return out.otherwise(default) if default is not None else out
+    """The result of the first case that holds. Conditions give the number of a case; results are constants in one literal array."""
+    found = list(cases)
+    results = [result for _, result in found]
+    if default is not None:
+        results.append(default)
+    if not results:
+        return F.lit(None).cast(DECISION)
+    hit = None
+    for i, (holds, _) in enumerate(found):
+        hit = F.when(holds, i) if hit is None else hit.when(holds, i)
+    last = F.lit(len(found) if default is not None else None).cast("int")
+    return F.get(literals(results), last if hit is None else hit.otherwise(last))
 
 
 class Gate:

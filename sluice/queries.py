@@ -559,7 +559,7 @@ def streaming_equals_batch(spark, sf_dir):
     text = F.concat(F.lit('{"type":"'), "event_type", F.lit('","props":'), "props", F.lit("}"))
     path = _folder(spark, "stream")
     table(spark, sf_dir, "events").select(text).repartition(4).write.text(path)
-    done = classify_stream(line_stream(spark, path, "jsonl", files_per_batch=2), Cascade([RulesStage(_EVENT_RULES)]))
+    done = classify_stream(line_stream(spark, path, files_per_batch=2), Cascade([RulesStage(_EVENT_RULES)]), "jsonl")
     out = _folder(spark, "streamed")
     flat_rows = done.select(F.coalesce(F.col("decision")["category"], F.lit("review")).alias("category"))
     writer = flat_rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "progress")).trigger(availableNow=True)

@@ -1,7 +1,7 @@
 """Line sources: text and JSON Lines files as records with line numbers.
 
 ``read_text`` gives one record for each line, blank ones too; ``read_jsonl`` one for each line
-with an object, skipping blank lines but counting them. Bad lines are rows whose ``error`` says
+with an object, skipping blank lines but counting them. A folder is read as its files one after another, by path. Bad lines are rows whose ``source_error`` says
 what is wrong, so that one pass can commit the records before them. A line of
 MAX_LINE bytes or more is an error.
 """
@@ -21,54 +21,54 @@ MAX_LINE = 1 << 20
 _BLANK = r"^[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*$"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, _line) of a file: bytes between line feeds without one trailing carriage return, numbers from 1.
+def raw_lines(values: DataFrame) -> DataFrame:
+    """(line, _file, _block) of a frame of text files: bytes between line feeds without one trailing carriage return."""
+    return values.select(
+        F.when(F.col("value").endswith("\r"), F.expr("cast(substring(cast(value as binary), 1, octet_length(value) - 1) as string)")).otherwise(F.col("value")).alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+
+
+def numbered(raw: DataFrame, each_file: bool = False) -> DataFrame:
+    """Add ``_line``, numbers from 1 over all files in the order of their paths, or in each file.
 
     Spark numbers the rows of each partition as it reads them. A line's number is its distance
     from the first row of its block plus the lines of the blocks before, which one small
     aggregate counts; the lines themselves are not shuffled or sorted.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
-    raw = raw.select(
-        F.when(F.col("value").endswith("\r"), F.expr("cast(substring(cast(value as binary), 1, octet_length(value) - 1) as string)")).otherwise(F.col("value")).alias("line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
-    )
+    raw = raw.withColumn("_at", F.monotonically_increasing_id())
     blocks = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_file").orderBy("_block") if each_file else Window.orderBy("_file", "_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     out = raw.join(starts, ["_file", "_block"])
-    return out.select("line", (F.col("_at") + F.col("_shift") + 1).cast("long").alias("_line"))
+    return out.withColumn("_line", (F.col("_at") + F.col("_shift") + 1).cast("long")).drop("_at", "_shift")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, _line) of a file, or of a folder's files one after another."""
+    return numbered(raw_lines(spark.read.option("lineSep", "\n").text(path))).select("line", "_line")
 
 
 def _source_error(message: Column) -> Column:
     return F.struct(F.lit("").alias("stage"), message.alias("message")).cast(ERROR)
 
 
-def _records(lines: DataFrame, name: str, ordinal: int, kind: str, fields: Column, problem: Column | None) -> DataFrame:
-    where = F.concat(F.lit(f"{name}:"), F.col("_line").cast("string"))
-    prefix = "jsonl" if kind == "json" else "text"
-    long = F.when(F.octet_length("line") >= MAX_LINE, F.lit(f"{prefix}: {name}: token too long"))
-    said = long if problem is None else F.coalesce(long, F.when(problem.isNotNull(), F.concat(F.lit("jsonl: "), where, F.lit(": "), problem)))
-    return lines.select(
-        where.alias("id"),
-        F.lit(kind).alias("kind"),
-        F.col("line").cast("binary").alias("data"),
-        fields.alias("fields"),
-        F.lit(None).cast("map<string,string>").alias("meta"),
-        F.lit(ordinal).alias("_input"),
-        F.col("_line"),
-        F.when(said.isNotNull(), _source_error(said)).alias("source_error"),
-    )
+def _too_long(prefix: str, name: Column) -> Column:
+    return F.when(F.octet_length("line") >= MAX_LINE, F.concat(F.lit(f"{prefix}: "), name, F.lit(": token too long")))
 
 
-def text_records(lines: DataFrame, name: str, ordinal: int = 0) -> DataFrame:
-    return _records(lines, name, ordinal, "text", F.try_parse_json(F.lit(None).cast("string")), None)
+def text_fields(lines: DataFrame) -> DataFrame:
+    """Add the fields of a text line, none, and what is wrong with it, nothing."""
+    return lines.withColumns({"fields": F.try_parse_json(F.lit(None).cast("string")), "_problem": F.lit(None).cast("string")})
 
 
-def jsonl_records(lines: DataFrame, name: str, ordinal: int = 0) -> DataFrame:
-    """Strict objects: the parser allows text after a value, so each line is parsed in an array before a sentinel."""
+def jsonl_fields(lines: DataFrame) -> DataFrame:
+    """Add the fields of a line of JSON and what is wrong with it, without lines that are blank.
+
+    Objects are strict: the parser allows text after a value, so each line is parsed in an array before a sentinel.
+    """
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     mark = uuid.uuid4().hex
     kept = lines.where(~F.col("line").rlike(_BLANK))
@@ -85,11 +85,36 @@ def jsonl_records(lines: DataFrame, name: str, ordinal: int = 0) -> DataFrame:
         .when(bare.isNotNull(), "line is not a JSON object")
         .otherwise("line is not valid JSON")
     )
-    kept = kept.withColumns({"_fields": F.when(alone & of.startswith("OBJECT"), first), "_problem": problem})
-    return _records(kept, name, ordinal, "json", F.col("_fields"), F.col("_problem"))
+    return kept.withColumns({"fields": F.when(alone & of.startswith("OBJECT"), first), "_problem": problem}).drop("_wrapped")
 
 
-READERS = {"text": text_records, "jsonl": jsonl_records}
+FIELDS = {"text": text_fields, "jsonl": jsonl_fields}
+KINDS = {"text": "text", "jsonl": "json"}
+
+
+def records(lines: DataFrame, kind: str, name: Column, ordinal: Column) -> DataFrame:
+    """Records of numbered lines, with ``source_error`` where a line can't be read. ``name`` is the input's."""
+    where = F.concat(name, F.lit(":"), F.col("_line").cast("string"))
+    problem = F.when(F.col("_problem").isNotNull(), F.concat(F.lit("jsonl: "), where, F.lit(": "), F.col("_problem")))
+    said = F.coalesce(_too_long(kind, name), problem)
+    return FIELDS[kind](lines).select(
+        where.alias("id"),
+        F.lit(KINDS[kind]).alias("kind"),
+        F.col("line").cast("binary").alias("data"),
+        "fields",
+        F.lit(None).cast("map<string,string>").alias("meta"),
+        ordinal.alias("_input"),
+        F.col("_line"),
+        F.when(said.isNotNull(), _source_error(said)).alias("source_error"),
+    )
+
+
+def text_records(lines: DataFrame, name: str, ordinal: int = 0) -> DataFrame:
+    return records(lines, "text", F.lit(name), F.lit(ordinal))
+
+
+def jsonl_records(lines: DataFrame, name: str, ordinal: int = 0) -> DataFrame:
+    return records(lines, "jsonl", F.lit(name), F.lit(ordinal))
 
 
 def read_text(spark: SparkSession, path: str, name: str | None = None, ordinal: int = 0) -> DataFrame:

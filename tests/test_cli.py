@@ -5,7 +5,7 @@ import pytest
 
 from sluice.operators.sinks import JsonLines
 from sluice.plans import config
-from sluice.plans.cli import USAGE, Command, CommandError, same_path
+from sluice.plans.cli import USAGE, Command, CommandError, identity
 
 RULES = """
 rules:
@@ -133,6 +133,7 @@ def test_output_collisions(spark, here, old, new, said):
 def test_same_path_by_links(here):
     os.link("log.txt", "hard")
     os.symlink("log.txt", "soft")
+    same_path = lambda a, b: identity(a) == identity(b)
     assert same_path("log.txt", "hard") and same_path("./log.txt", "soft") and not same_path("log.txt", "mock.yml")
     os.symlink(".", "dir")
     assert same_path("dir/new", "new") and not same_path("dir/new", "newer")
@@ -185,3 +186,21 @@ def test_jsonl_sink_keeps_order(spark):
     df = from_memory(spark, [{"id": str(i), "data": "x"} for i in range(200)]).repartition(7)
     JsonLines(out).write(Cascade([MockStage(default=Outcome("c", 1.0))]).classify(df))
     assert [x.split('"')[3] for x in out.getvalue().splitlines()] == [str(i) for i in range(200)]
+
+
+def test_numbers_as_written(spark, here):
+    (here / "n.yml").write_text('rules:\n  - {category: ten, fields: [{path: n, exact: "1.10"}]}\n  - {category: big, fields: [{path: n, gte: 100}]}\n')
+    (here / "n.jsonl").write_text('{"n":1.10}\n{"n":1e2}\n{"n":9007199254740993}\n{"n":1.1}\n')
+    out, err = run(spark, "run", "--rules", "n.yml", "--input", "jsonl", "n.jsonl")
+    assert [x.split('"fields":')[1].split(',"confidence"')[0] for x in out.splitlines()] == [
+        '{"n":1.10},"category":"ten"', '{"n":1e2},"category":"big"', '{"n":9007199254740993},"category":"big"',
+    ]
+    (here / "n.yaml").write_text("version: 1\ninput: {type: jsonl}\nstages:\n  - {id: r, type: rules, path: n.yml}\nsink: {type: jsonl, stream: stdout}\n")
+    again, _ = run(spark, "run", "--config", "n.yaml", "n.jsonl")
+    assert again.replace('"stage":"r"', '"stage":"rules"') == out and "processed=4 classified=3 review=1" in err
+
+
+def test_bad_bytes_one_mark_each(spark, here):
+    (here / "all.yml").write_text('rules:\n  - {category: all, regex: ["x"]}\n')
+    (here / "bad.txt").write_bytes(b"x\xe2\x82y\xffz\n")
+    assert '"data":"x\\ufffd\\ufffdy\\ufffdz"' in run(spark, "run", "--rules", "all.yml", "bad.txt")[0]

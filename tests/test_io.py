@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sluice.functions import logfields
 from sluice.functions.wire import wire_line
 from sluice.functions.wordpiece import WordPiece, encode_column
-from sluice.model import SourceError, StageError
+from sluice.model import SinkError, SourceError, StageError
 from sluice.operators.cascade import Cascade
 from sluice.operators.mock import MockMatcher, MockStage, Outcome
 from sluice.operators.rules import Matcher, Rule, RulesStage
@@ -85,9 +85,10 @@ def test_wire_bad_bytes_and_numbers(spark):
     assert '"data":"a\\ufffdb"' in wire(spark, {"id": "a", "data": b"a\xffb"})
     assert '"data":"\\ufffd\\ufffdb"' in wire(spark, {"id": "a", "data": b"\xe2\x82b"}, exact=True)
     assert '"fields":{"b":[1.10,1E5],"c":1e400}' in wire(spark, {"id": "a", "kind": "json", "data": '{"c":1e400,"b":[1.10,1E5]}'}, exact=True)
-    for confidence, text in ((0.85, "0.85"), (0.25, "0.25"), (1e-7, "0.0000001")):
-        line = wire(spark, {"id": "a", "data": "x"}, Cascade([MockStage(default=Outcome("c", confidence))]))
-        assert f'"confidence":{text},' in line or f'"confidence":{confidence!r},' in line
+    said = ((0.85, "0.85"), (0.25, "0.25"), (1e-7, "1e-7"), (1.5e-9, "1.5e-9"), (1e-6, "0.000001"), (1.25e-5, "0.0000125"), (0.0001, "0.0001"), (0.001, "0.001"), (1 / 3, "0.3333333333333333"), (2.5e-10, "2.5e-10"))
+    for confidence, text in said:
+        for exact in (False, True):
+            assert f'"confidence":{text},' in wire(spark, {"id": "a", "data": "x"}, Cascade([MockStage(default=Outcome("c", confidence))]), exact)
 
 
 def memory(spark, *texts):
@@ -122,6 +123,71 @@ def test_engine_stops_at_bad_lines(spark, tmp_path):
     assert [r["id"] for r in out.entries()] == ["j:1", "j:2"] and engine.stats.processed == 2
 
 
+class Broken:
+    written = 0
+
+    def write(self, df):
+        raise OSError("disk full")
+
+
+class Breaks(io.StringIO):
+    def write(self, text):
+        if len(self.getvalue().splitlines()) == 2:
+            raise OSError("disk full")
+        return super().write(text)
+
+
+def test_counts_after_a_sink_fails(spark):
+    cascade = Cascade([RulesStage([Rule("x", contains=["x"])])])
+    source = memory(spark, "-", "x1", "-", "x2", "x3", "-")
+    review = Memory()
+    engine = Engine(source, cascade, Broken(), review)
+    with pytest.raises(SinkError, match="engine: sink: disk full"):
+        engine.run()
+    assert str(engine.stats) == "processed=2 classified=0 review=1 by_stage=map[]" and [r["id"] for r in review.entries()] == ["m:1"]
+    review = Memory()
+    engine = Engine(source, cascade, JsonLines(Breaks()), review)
+    with pytest.raises(SinkError):
+        engine.run()
+    assert str(engine.stats) == "processed=5 classified=2 review=2 by_stage=map[rules:2]" and [r["id"] for r in review.entries()] == ["m:1", "m:3"]
+    engine = Engine(source, cascade, Memory(), Broken())
+    with pytest.raises(SinkError, match="engine: review sink: disk full"):
+        engine.run()
+    assert engine.stats.classified == 3 and engine.stats.reviewed == 1
+
+
+def test_engine_without_holding(spark, tmp_path):
+    source = lines.read_text(spark, written(tmp_path, "a\nx\nb\n"), "t")
+    out, review = Memory(), Memory()
+    stats = Engine(source, Cascade([RulesStage([Rule("x", contains=["x"])])]), out, review, hold=False).run()
+    assert str(stats) == "processed=3 classified=1 review=2 by_stage=map[rules:1]"
+    assert [r["id"] for r in out.entries()] == ["t:2"] and [r["id"] for r in review.entries()] == ["t:1", "t:3"]
+
+
+def test_lines_of_a_folder_have_ids_of_their_own(spark, tmp_path):
+    for name, text in (("1", "a\nb\n"), ("2", "c\nd\n")):
+        (tmp_path / name).write_text(text)
+    rows = lines.read_text(spark, f"file://{tmp_path}", "d").orderBy("_line").collect()
+    assert [(r["id"], bytes(r["data"])) for r in rows] == [("d:1", b"a"), ("d:2", b"b"), ("d:3", b"c"), ("d:4", b"d")]
+
+
+@pytest.mark.parametrize("kind", ["stage", "line"])
+def test_errors_end_a_stream(spark, tmp_path, kind):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.jsonl").write_text('{"a":1}\n\n{"a":2}\n' + ("nothing\n" if kind == "line" else '{"bad":1}\n') + '{"a":3}\n')
+
+    def ask(rows):
+        return [RuntimeError("boom") if b"bad" in r["data"] else ("ok", 1.0) for r in rows]
+
+    out = Memory()
+    query, stats = run_stream(line_stream(spark, f"file://{source}"), Cascade([RowStage("m", ask)]), out, f"file://{tmp_path}/progress", kind="jsonl")
+    with pytest.raises(Exception, match="1.jsonl:4: line is not valid JSON" if kind == "line" else "engine: stage m: boom"):
+        query.awaitTermination()
+    assert [r["id"].rpartition("/")[2] for r in out.entries()] == ["1.jsonl:1", "1.jsonl:3"]
+    assert (stats.processed, stats.classified, stats.reviewed) == (3 if kind == "stage" else 2, 2, 0)
+
+
 def test_engine_needs_its_parts(spark):
     for args, said in (((None, ALL, Memory()), "source"), ((memory(spark), None, Memory()), "cascade"), ((memory(spark), ALL, None), "sink"), ((memory(spark), ALL, Memory(), None, -1), "negative")):
         with pytest.raises(ValueError, match=said):
