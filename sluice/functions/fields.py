@@ -54,7 +54,13 @@ class VariantFields:
         keys = paths.split(path)
         if not keys:
             return F.lit(None).cast(kind) if kind != "variant" else F.try_parse_json(F.lit(None).cast("string"))
-        return F.try_variant_get(self.column, paths.variant_path(keys), kind)
+        path = paths.variant_path(keys)
+        if path is not None:
+            return F.try_variant_get(self.column, path, kind)
+        at = self.column
+        for key in keys:
+            at = F.try_element_at(F.try_variant_get(at, "$", "map<string,variant>"), F.lit(key))
+        return F.try_variant_get(at, "$", kind)
 
     def present(self, path: str) -> Column:
         return self._get(path, "variant").isNotNull()

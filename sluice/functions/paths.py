@@ -31,12 +31,8 @@ def get(fields: Mapping | None, path: str) -> tuple[Any, bool]:
     return lookup(fields, split(path))
 
 
-def variant_path(keys: list[str]) -> str:
-    """The keys as a path for Spark's variant functions."""
-    out = ["$"]
-    for key in keys:
-        mark = '"' if '"' not in key else "'"
-        if mark in key:
-            raise ValueError(f"a key that holds both kinds of quotes has no variant path: {key}")
-        out.append(f"[{mark}{key}{mark}]")
-    return "".join(out)
+def variant_path(keys: list[str]) -> str | None:
+    """The keys as a path for Spark's variant functions; None if a key holds both kinds of quotes, which such a path can't."""
+    if any('"' in key and "'" in key for key in keys):
+        return None
+    return "$" + "".join(f"['{key}']" if '"' in key else f'["{key}"]' for key in keys)

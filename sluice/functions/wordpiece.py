@@ -21,6 +21,10 @@ CJK = (
 )
 
 
+#: Words whose pieces are kept.
+CACHE = 50_000
+
+
 def _space(c: str) -> bool:
     return c in " \t\n\r" or ord(c) >= 0x80 and (unicodedata.category(c) in ("Zs", "Zl", "Zp") or c == "\x85")
 
@@ -33,28 +37,36 @@ def _mark(c: str) -> bool:
     return c.isascii() and c.isprintable() and not c.isalnum() and c != " " or unicodedata.category(c).startswith("P")
 
 
+class _Cleaned(dict):
+    """What each character becomes, worked out when it is first seen."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = "" if _dropped(c) else " " if _space(c) else f" {c} " if any(a <= code <= b for a, b in CJK) else c
+        self[code] = out
+        return out
+
+
+_CLEANED = _Cleaned()
+
+
 def cleaned(text: str) -> str:
-    out = []
-    for c in text:
-        if _dropped(c):
-            continue
-        if _space(c):
-            out.append(" ")
-        elif any(a <= ord(c) <= b for a, b in CJK):
-            out.append(f" {c} ")
-        else:
-            out.append(c)
-    return "".join(out)
+    return text.translate(_CLEANED)
 
 
 def folded(word: str) -> str:
     """In lower case and without accents."""
+    if word.isascii():
+        return word.lower()
     low = "".join(c.lower() if ord(c) != 0x130 else "i" for c in word)
     return "".join(c for c in unicodedata.normalize("NFD", low) if unicodedata.category(c) != "Mn")
 
 
 def parted(word: str) -> Iterator[str]:
     """The word with each punctuation mark on its own."""
+    if word.isascii() and word.isalnum():
+        yield word
+        return
     run = ""
     for c in word:
         if _mark(c):
@@ -91,6 +103,7 @@ class WordPiece:
         self.vocab, self.lowercase, self.max_len, self.max_chars = dict(vocab), lowercase, max_len, max_chars_per_word
         self.unknown, self.begin, self.end = special_tokens
         self.longest = max(map(len, vocab))
+        self.cache: dict[str, list[str]] = {}
 
     @classmethod
     def parse(cls, lines: Iterable[str], **options) -> WordPiece:
@@ -130,8 +143,19 @@ class WordPiece:
                 return [self.unknown]
         return out
 
+    def _known(self, word: str) -> list[str]:
+        """The pieces of a word, from a cache of bounded size."""
+        found = self.cache.get(word)
+        if found is None:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            found = self.pieces(word)
+            if len(word) <= 64:
+                self.cache[word] = found
+        return found
+
     def encode(self, text: str) -> Encoding:
-        found = [p for w in self.words(text) for p in self.pieces(w)]
+        found = [p for w in self.words(text) for p in self._known(w)]
         if self.max_len:
             found = found[: self.max_len - 2]
         tokens = [self.begin, *found, self.end]

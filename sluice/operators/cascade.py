@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import gotext
 from ..model import DECISION, ERROR, LINE, OUTCOME
 from ..sources.tables import from_memory
-from .stages import ColumnStage, Env, Gate, Gated, Named, RowStage, well_formed
+from .stages import ColumnStage, Env, Gate, Gated, LookupStage, Named, RowStage, well_formed
 
 _ARROW_DECISION = pa.struct(
     [
@@ -101,6 +101,9 @@ class Cascade:
                 own, error = self._checked(stage.name, inner.decide(self.env, stage.name), gates)
                 out = out.withColumns({"decision": F.when(open_, own).otherwise(F.col("decision")), "error": F.when(open_, error).otherwise(F.col("error"))})
                 continue
+            if isinstance(inner, LookupStage):  # its confidence is 1, which every gate admits
+                out = inner.classify(out, self.env, stage.name, open_).withColumn("decision", F.coalesce("decision", "_found")).drop("_found")
+                continue
             out = out.persist(StorageLevel.MEMORY_AND_DISK)
             self._held.append(out)
             out = out.where(~open_).unionByName(self._rows(out.where(open_), stage.name, inner, gates))

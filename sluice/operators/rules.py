@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import gotext
-from ..functions import paths
 from ..functions.regex import PatternError, compile_pattern
 from .stages import ColumnStage, Env, decision, first_hit
 
@@ -78,7 +77,6 @@ def _field(m: FieldMatcher, where: str) -> Check:
     given = [c for c in CONDITIONS if getattr(m, c) is not None]
     if len(given) != 1:
         raise ValueError(f"rules: {where}: field {gotext.quote(m.path)} needs exactly one of {'/'.join(CONDITIONS)}")
-    paths.variant_path(paths.split(m.path))
     kind, want, p = given[0], getattr(m, given[0]), m.path
     if kind == "exact":
         return Check(f"field {p} == {gotext.quote(want)}", lambda env: env.fields.text(p) == F.lit(want))

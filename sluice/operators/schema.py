@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import paths
 from ..functions.fields import bound, literals
 from ..model import DECISION, REASON
 from .stages import ColumnStage, Env
@@ -39,7 +38,6 @@ class SchemaStage(ColumnStage):
                 raise ValueError("schema: field path is required")
             if f.type not in (ANY, STRING, NUMBER, BOOL):
                 raise ValueError(f"schema: unknown field type {f.type!r} (want any, string, number, or bool)")
-            paths.variant_path(paths.split(f.path))
         self.category, self.fields, self.name = category, list(fields), name
         self.paths = frozenset(f.path for f in fields)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import gotext
@@ -53,7 +54,6 @@ class RowStage:
         self.name, self.classify = name, classify
 
 
-Stage = ColumnStage | RowStage
 
 
 def decision(category: str, confidence: float, stage: str, reasons: Reasons, least: float = 0.0) -> Column:
@@ -101,7 +101,7 @@ def well_formed(c: Column) -> Column:
 class Gated:
     """A stage whose decisions below the gate count as undecided; ill-formed ones pass, to be refused."""
 
-    def __init__(self, inner: Stage, gate: Gate):
+    def __init__(self, inner: Any, gate: Gate):
         if inner is None:
             raise ValueError("with_gate: stage is nil")
         self.inner, self.gate = inner, gate
@@ -114,34 +114,65 @@ class Gated:
 class Named:
     """A stage under another name."""
 
-    def __init__(self, inner: Stage, name: str):
+    def __init__(self, inner: Any, name: str):
         if inner is None:
             raise ValueError("with_name: stage is nil")
         self.inner, self.name = inner, name
 
 
-def with_gate(stage: Stage, gate: Gate) -> Gated:
+def with_gate(stage: Any, gate: Gate) -> Gated:
     return Gated(stage, gate)
 
 
-def with_name(stage: Stage, name: str) -> Named:
+def with_name(stage: Any, name: str) -> Named:
     return Named(stage, name)
 
 
 class StaticStage(ColumnStage):
-    """Exact lookup of the whole payload; at most MAX_ENTRIES, since the map is part of the plan."""
+    """Exact lookup of the whole payload. Up to IN_PLAN entries are part of the plan; more are joined, as ``LookupStage`` does."""
 
-    MAX_ENTRIES = 10_000
+    IN_PLAN = 1_000
+
+    def __new__(cls, name: str, categories: dict[str, str]):
+        if len(categories) > cls.IN_PLAN:
+            return LookupStage(name, dict(categories))
+        return super().__new__(cls)
 
     def __init__(self, name: str, categories: dict[str, str]):
-        if len(categories) > self.MAX_ENTRIES:
-            raise ValueError(f"static: more than {self.MAX_ENTRIES} entries; join a table instead")
         self.name, self.categories = name, dict(categories)
 
     def decide(self, env: Env, name: str, least: float = 0.0) -> Column:
         if not self.categories:
             return F.lit(None).cast(DECISION)
         table = F.create_map(*(F.lit(x) for pair in self.categories.items() for x in pair))
-        found = F.element_at(table, env.text())
-        whole = F.struct(found.alias("category"), F.lit(1.0).alias("confidence"), F.lit(name).alias("stage"), F.array().alias("reasons"))
-        return F.when(found.isNotNull(), whole.cast(DECISION))
+        return _looked_up(F.element_at(table, env.text()), name)
+
+
+def _looked_up(category: Column, name: str) -> Column:
+    whole = F.struct(category.alias("category"), F.lit(1.0).alias("confidence"), F.lit(name).alias("stage"), F.array().alias("reasons"))
+    return F.when(category.isNotNull(), whole.cast(DECISION))
+
+
+class LookupStage:
+    """Exact lookup of the whole payload in a table of any size, by a join.
+
+    ``categories``: a dict, or a frame of (key, category); of equal keys the least category counts. A table of at most
+    BROADCAST_BYTES is sent to all executors; a larger one is joined by shuffles of both sides.
+    """
+
+    BROADCAST_BYTES = 32 << 20
+
+    def __init__(self, name: str, categories: dict[str, str] | DataFrame):
+        self.name, self.categories = name, categories
+
+    def classify(self, df: DataFrame, env: Env, name: str, open_: Column) -> Column | DataFrame:
+        """The frame with ``_found``, the decision of each open record that the table holds."""
+        table = self.categories
+        if isinstance(table, dict):
+            table = df.sparkSession.createDataFrame([*table.items()], "key string, category string")
+        table = table.select(F.col("key").cast("string").alias("_key"), F.col("category").cast("string").alias("_category"))
+        table = table.where("_key is not null").groupBy("_key").agg(F.min("_category").alias("_category"))
+        size = table.agg(F.sum(F.octet_length("_key") + F.octet_length("_category") + 64).alias("s")).first()["s"] or 0
+        table = F.broadcast(table) if size <= self.BROADCAST_BYTES else table.hint("shuffle_merge")
+        joined = df.withColumn("_text", F.when(open_, env.text())).join(table, F.col("_text") == F.col("_key"), "left")
+        return joined.withColumn("_found", _looked_up(F.col("_category"), name)).drop("_text", "_key", "_category")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import logging
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,11 @@ from .operators.mock import MockMatcher, MockStage, Outcome
 from .operators.rules import FieldMatcher, Matcher, Rule, RulesStage
 from .operators.schema import Field, SchemaStage
 from .operators.sinks import JsonLines, JsonLinesFolder, Memory, Router
-from .operators.stages import Env, Gate, RowStage, StaticStage, with_gate, with_name
-from .plans.engine import Engine, by_stage, statistics
+from .operators.stages import Env, Gate, LookupStage, RowStage, StaticStage, with_gate, with_name
+from .model import SinkError
+from .plans.engine import Engine, Stats, by_stage, statistics
 from .sources import lines, tables
-from .streaming.run import classify_stream, line_stream
+from .streaming.run import classify_stream, line_stream, run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -312,6 +315,24 @@ def static_lookup(spark, sf_dir):
     )
 
 
+@query("""SELECT d.doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 = 3 THEN 'seventh' ELSE (SELECT min('b' || (b.doc_id % 10)) FROM documents b WHERE b.text = d.text) END AS category FROM documents d""")
+def static_lookup_join(spark, sf_dir):
+    """Whole texts looked up in a table of all texts, after a stage that has decided some."""
+    raw = table(spark, sf_dir, "documents")
+    texts = raw.select(F.col("text").alias("key"), F.concat(F.lit("b"), (F.col("doc_id") % 10).cast("string")).alias("category"))
+    seventh = RowStage("seventh", lambda rows: [("seventh", 1.0) if int(r["id"]) % 7 == 3 else None for r in rows])
+    done = Cascade([seventh, LookupStage("texts", texts)]).classify(documents(spark, sf_dir))
+    return done.select("id", F.col("decision")["category"].alias("category"))
+
+
+@query("SELECT event_id::VARCHAR AS id, CASE WHEN user_id % 2 = 0 THEN 'even' END AS category FROM events")
+def path_both_quotes(spark, sf_dir):
+    """A key with both kinds of quotes."""
+    df = events(spark, sf_dir, F.concat(F.lit('{"a\'\\"b":{"n":'), (F.col("user_id") % 2).cast("string"), F.lit("}}")))
+    done = Cascade([RulesStage([Rule("even", fields=[FieldMatcher("a'\"b.n", exact="0")])])]).classify(df)
+    return done.select("id", F.col("decision")["category"].alias("category"))
+
+
 _LICENSE = [Rule("license", contains=["licensed under"])]
 _LICENSE_SQL = rule_case("contains(text, 'licensed under')", "license", 'contains "licensed under"')
 
@@ -536,12 +557,12 @@ def engine_run(spark, sf_dir):
     return rows.groupBy(F.when(F.col("c") == "", "review").otherwise(F.col("c")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'nation' AS id, n_name AS data, 'big' AS category FROM nation WHERE n_regionkey < 2")
+@query("SELECT 'nation' AS id, n_name AS data, 'low' AS category FROM nation WHERE n_regionkey < 2")
 def memory_source_and_sink(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").where("n_regionkey < 2").collect()
+    rows = table(spark, sf_dir, "nation").collect()
     source = tables.from_memory(spark, [{"id": "nation", "data": r["n_name"], "fields": {"r": r["n_regionkey"]}} for r in rows])
     sink = Memory()
-    Engine(source, Cascade([RulesStage([Rule("big", fields=[FieldMatcher("r", lte=1.0)])])]), sink).run()
+    Engine(source, Cascade([RulesStage([Rule("low", fields=[FieldMatcher("r", lte=1.0)])])]), sink).run()
     return spark.createDataFrame([(e["id"], bytes(e["data"]).decode(), e["decision"]["category"]) for e in sink.entries()], "id string, data string, category string")
 
 
@@ -567,6 +588,111 @@ def streaming_equals_batch(spark, sf_dir):
     return spark.read.parquet(out).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+class _Refusing:
+    """A sink that fails at once."""
+
+    def write(self, df: DataFrame) -> None:
+        raise OSError("refused")
+
+
+@query(f"""SELECT min(n) AS processed, 0 AS classified, min(n) - 1 AS reviewed FROM (SELECT row_number() OVER (ORDER BY event_id) AS n, {_EVENT_CASE} AS c FROM events) WHERE c IS NOT NULL""")
+def stats_after_sink_error(spark, sf_dir):
+    """What a run has counted when its sink fails at the first record."""
+    text = F.concat(F.lit('{"type":"'), "event_type", F.lit('","props":'), "props", F.lit("}"))
+    path = _spooled(table(spark, sf_dir, "events").orderBy("event_id").select(text), "events")
+    engine = Engine(lines.read_jsonl(spark, path, "ev"), Cascade([RulesStage(_EVENT_RULES)]), _Refusing())
+    try:
+        engine.run()
+    except SinkError as e:
+        if str(e) != "engine: sink: refused":
+            raise
+    s = engine.stats
+    return spark.createDataFrame([(s.processed, s.classified, s.reviewed)], "processed long, classified long, reviewed long")
+
+
+@query("""SELECT n FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) AS n, min(CASE WHEN event_id % 4999 = 4998 THEN event_id END) OVER () AS stop, event_id FROM events)
+  WHERE event_type = 'error' AND (stop IS NULL OR event_id < stop)""")
+def stream_stage_error(spark, sf_dir):
+    """The lines that a stream has written when a stage fails on a record."""
+    path, out = _event_lines(spark, sf_dir, F.when(F.col("event_id") % 4999 == 4998, F.lit('{"fail":1}')).otherwise(F.col("j"))), _folder(spark, "stream-error")
+
+    def careful(rows):
+        return [ValueError("refused") if b'"fail"' in r["data"] else None for r in rows]
+
+    cascade = Cascade([RulesStage([Rule("alert", fields=[FieldMatcher("type", exact="error")])]), RowStage("careful", careful)])
+    run, _ = run_stream(line_stream(spark, path), cascade, JsonLinesFolder(out, mode="append"), _folder(spark, "progress"), kind="jsonl")
+    try:
+        run.awaitTermination()
+    except StreamingQueryException as e:
+        if "engine: stage careful: refused" not in str(e):
+            raise
+    return spark.read.text(out).select(F.regexp_extract(F.get_json_object("value", "$.id"), ":([0-9]+)$", 1).cast("long").alias("n"))
+
+
+@query("""SELECT 'docs:' || n AS id, CASE WHEN doc_id % 500 = 7 THEN 'text: docs: token too long' END AS error FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)""")
+def text_line_cap(spark, sf_dir):
+    line = F.when(F.col("doc_id") % 500 == 7, F.repeat(F.lit("x"), F.lit(lines.MAX_LINE))).otherwise(F.regexp_replace("text", r"[\r\n]+", " "))
+    path = _spooled(table(spark, sf_dir, "documents").orderBy("doc_id").select(F.coalesce(line, F.lit(""))), "long-lines")
+    return lines.read_text(spark, path, "docs").select("id", F.col("source_error")["message"].alias("error"))
+
+
+@query("""SELECT '{"id":"' || event_id || '","kind":"json","data":"{\\"b\\":[1.10,1E5,9007199254740993],\\"a\\":' || user_id || '.0e0}","fields":{"a":' || user_id || '.0e0,"b":[1.10,1E5,9007199254740993]},"category":"all","confidence":1,"stage":"mock","reasons":[{"code":"mock","detail":"mock score 1 for \\"all\\""}]}' AS line FROM events""")
+def wire_exact_numbers(spark, sf_dir):
+    text = F.concat(F.lit('{"b":[1.10,1E5,9007199254740993],"a":'), F.col("user_id").cast("string"), F.lit(".0e0}"))
+    done = Cascade([MockStage(default=Outcome("all", 1.0))]).classify(events(spark, sf_dir, text))
+    return done.select(wire_line(exact=True).alias("line"))
+
+
+@query("""SELECT '{"id":"' || doc_id || '","kind":"record","data":"' || doc_id || '\\ufffd\\ufffd-\\ufffd","category":"","confidence":0}' AS line FROM documents""")
+def wire_bad_utf8(spark, sf_dir):
+    df = documents(spark, sf_dir).withColumn("data", F.concat(F.col("id").cast("binary"), F.unhex(F.lit("E2822DFF"))))
+    return Cascade([RulesStage([Rule("never", contains=["never there"])])]).classify(df).select(wire_line(exact=True).alias("line"))
+
+
+_SMALL = [("the ", 1e-7, "1e-7"), ("de ", 1.25e-5, "0.0000125"), ("a", 0.001, "0.001")]
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE " + " ".join(f"WHEN contains(text, '{part}') THEN '{shown}'" for part, _, shown in _SMALL) + " ELSE '0' END AS confidence FROM documents")
+def wire_small_confidence(spark, sf_dir):
+    done = Cascade([MockStage([MockMatcher([part], "some", c) for part, c, _ in _SMALL])]).classify(documents(spark, sf_dir))
+    return done.select("id", F.regexp_extract(wire_line(), '"confidence":([^,}]+)', 1).alias("confidence"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY item_id) AS k, CASE WHEN text LIKE '%a%' THEN 'a' WHEN length(text) % 2 = 0 THEN 'even' END AS category,
+  CASE WHEN text NOT LIKE '%a%' AND length(text) % 2 = 1 THEN 'stage odd: odd' END AS error FROM benchmark""")
+def batch_workers(spark, sf_dir):
+    """A list classified by four workers: results in the list's order."""
+    rows = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").collect()]
+    odd = RowStage("odd", lambda found: [("even", 1.0) if len(r["data"].decode()) % 2 == 0 else ValueError("odd") for r in found])
+    cascade = Cascade([RulesStage([Rule("a", contains=["a"])]), odd])
+    out = cascade.classify_batch(spark, [{"id": str(i), "data": t} for i, t in enumerate(rows)], workers=4)
+    return spark.createDataFrame([(i, d and d["category"], e) for i, (d, e) in enumerate(out, 1)], "k long, category string, error string")
+
+
+@query("""SELECT 'records unclassified and dropped; logging the first, see stats for the total record=n:' || min(n) AS line FROM
+  (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation) WHERE NOT contains(n_name, '1')""")
+def warn_and_drop(spark, sf_dir):
+    """The one line that a run without review logs of its undecided records."""
+    heard: list[str] = []
+    log, listener = logging.Logger("warn_and_drop"), logging.Handler()
+    listener.emit = lambda record: heard.append(record.getMessage())
+    log.addHandler(listener)
+    path = _spooled(table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name"), "n")
+    Engine(lines.read_text(spark, path, "n"), Cascade([RulesStage([Rule("one", contains=["1"])])]), Memory(), logger=log).run()
+    return spark.createDataFrame([(x,) for x in heard], "line string")
+
+
+@query("""SELECT 'processed=' || (a + b) || ' classified=' || (x + y) || ' review=' || (a + b - x - y) || ' by_stage=map[rules:' || (x + y) || ']' AS line FROM
+  (SELECT count(*) AS a, count_if(contains(n_name, '1')) AS x FROM nation), (SELECT count(*) AS b, count_if(contains(r_name, '1')) AS y FROM region)""")
+def stats_merge(spark, sf_dir):
+    """The printed statistics of two runs together."""
+    total = Stats()
+    for name, key, text in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")):
+        source = tables.from_table(table(spark, sf_dir, name), key, text)
+        total.merge(Engine(source, Cascade([RulesStage([Rule("one", contains=["1"])])]), Memory(), Memory()).run())
+    return spark.createDataFrame([(str(total),)], "line string")
+
+
 # Log lines
 
 def _log() -> Column:
@@ -608,37 +734,54 @@ def log_enrich_wins(spark, sf_dir):
     return done.select("id", "kind", get("level"), get("who"), get("user"))
 
 
-# WordPiece
+# WordPiece: letters and digits as pieces, so that SQL can tell the tokens of whole texts
 
+_MARKS = "".join(map(chr, range(33, 127)))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789" + chr(0xDF)
 
-def _names(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.col("n_name"), F.lit(", zoo")).alias("text"))
 
+def _vocabulary(more: str = "") -> list[str]:
+    marks = [c for c in _MARKS if not c.isalnum()]
+    return ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *_LETTERS, *(f"##{c}" for c in _LETTERS), *marks, *more]
 
-def _vocab(spark, sf_dir) -> list[str]:
-    rows = table(spark, sf_dir, "nation").select(F.lower("n_name")).collect()
-    return ["[PAD]", "[UNK]", "[CLS]", "[SEP]", ",", "z", "##o", *sorted({w for r in rows for w in r[0].replace("_", " _ ").split()} | {"_"})]
 
+def _pieces_sql(text: str) -> str:
+    """The tokens of a text as a list of strings, one for each word."""
+    words = f"regexp_extract_all(strip_accents(lower({text})), '[a-z0-9{chr(0xDF)}]+|[^\\s]')"
+    return f"list_transform({words}, lambda w: w[1] || regexp_replace(w[2:], '(.)', ' ##\\1', 'g'))"
 
-@query("""SELECT n_nationkey AS k, '[CLS] ' || trim(regexp_replace(replace(lower(n_name), '_', ' _ '), ' +', ' ', 'g')) || ' , z ##o ##o [SEP]' AS tokens FROM nation""")
+
+def _words_of(spark, sf_dir, text: Column, **options) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return encode_column(df, WordPiece.parse(_vocabulary(chr(0x4E2D) + chr(0x6587)), max_chars_per_word=1 << 20, **options), "text")
+
+
+@query(f"""SELECT doc_id, '[CLS] ' || coalesce(nullif(array_to_string({_pieces_sql("coalesce(text, '')")}, ' '), '') || ' ', '') || '[SEP]' AS tokens FROM documents""")
 def wordpiece_tokens(spark, sf_dir):
-    out = encode_column(_names(spark, sf_dir), WordPiece.parse(_vocab(spark, sf_dir)), "text")
-    return out.select("k", F.array_join("encoding.tokens", " ").alias("tokens"))
+    return _words_of(spark, sf_dir, F.coalesce("text", F.lit(""))).select("doc_id", F.array_join("encoding.tokens", " ").alias("tokens"))
 
 
-@query("SELECT n_nationkey AS k, 4 AS n, '1 1 1 1' AS mask, '0 0 0 0' AS types, 2 AS first, 3 AS last FROM nation")
+@query(f"""SELECT doc_id, n, trim(repeat('1 ', n)) AS mask, trim(repeat('0 ', n)) AS types, 2 AS first, 3 AS last FROM
+  (SELECT doc_id, least(16, 2 + len(string_split(nullif(array_to_string({_pieces_sql("text")}, ' '), ''), ' ')))::INTEGER AS n FROM documents WHERE text LIKE '%e%')""")
 def wordpiece_truncate(spark, sf_dir):
-    out = encode_column(_names(spark, sf_dir), WordPiece.parse(_vocab(spark, sf_dir), max_len=4), "text")
     e = F.col("encoding")
+    out = _words_of(spark, sf_dir, F.col("text"), max_len=16).where("text like '%e%'")
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    return out.select("k", F.size(e["ids"]).alias("n"), text(e["mask"]).alias("mask"), text(e["type_ids"]).alias("types"), F.element_at(e["ids"], 1).alias("first"), F.element_at(e["ids"], -1).alias("last"))
+    return out.select("doc_id", F.size(e["ids"]).alias("n"), text(e["mask"]).alias("mask"), text(e["type_ids"]).alias("types"), F.element_at(e["ids"], 1).alias("first"), F.element_at(e["ids"], -1).alias("last"))
 
 
-@query("SELECT n_nationkey AS k, '[CLS] cafe ' || chr(20013) || ' ' || chr(25991) || ' [UNK] [SEP]' AS tokens FROM nation")
+@query(f"""SELECT doc_id, '[CLS] c ##a ##f ##e ' || chr(20013) || ' ' || chr(25991) || ' ' || coalesce(nullif(array_to_string({_pieces_sql("text")}, ' '), '') || ' ', '') || '[UNK] [SEP]' AS tokens FROM documents WHERE text IS NOT NULL""")
 def wordpiece_cjk_accents(spark, sf_dir):
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("Caf" + chr(233) + chr(20013) + chr(25991) + " qqq")).alias("text"))
-    vocab = ["[UNK]", "[CLS]", "[SEP]", "cafe", chr(20013), chr(25991)]
-    return encode_column(df, WordPiece.parse(vocab), "text").select("k", F.array_join("encoding.tokens", " ").alias("tokens"))
+    text = F.concat(F.lit("Caf" + chr(0xE9) + chr(0x4E2D) + chr(0x6587)), F.col("text"), F.lit(" " + chr(0x416)))
+    out = _words_of(spark, sf_dir, text)
+    return out.where("text is not null").select("doc_id", F.array_join("encoding.tokens", " ").alias("tokens"))
+
+
+@query("""SELECT k, token FROM (VALUES (0, '[UNK]'), (1, '[CLS]'), (2, '[SEP]'), (3, 'a'), (4, ''), (6, 'b')) v(k, token)""")
+def wordpiece_vocabulary(spark, sf_dir):
+    """Line numbers are ids; ends of lines go; the first of equal lines counts."""
+    found = WordPiece.parse(["[UNK]\r\n", "[CLS]\n", "[SEP]\n", "a\n", "\n", "a\r\n", "b"]).vocab
+    return spark.createDataFrame([(i, t) for t, i in found.items()], "k int, token string")
 
 
 # Bulk
