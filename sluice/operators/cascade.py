@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import gotext
+from ..functions.fields import literals
+from ..functions.wire import TAIL, wire_tail
 from ..model import DECISION, ERROR, LINE, OUTCOME
 from ..sources.tables import from_memory
-from .stages import ColumnStage, Env, Gate, Gated, LookupStage, Named, RowStage, well_formed
+from .stages import ColumnStage, ConstantStage, Decided, Env, Gate, Gated, LookupStage, Named, RowStage, well_formed
 
 _ARROW_DECISION = pa.struct(
     [
@@ -81,12 +83,31 @@ class Cascade:
             raise ValueError("some stage runs caller code or may decide ill-formed")
         return F.coalesce(*columns)
 
-    def classify(self, df: DataFrame) -> DataFrame:
+    def _constants(self) -> tuple[Column, list[Decided]] | None:
+        """The place of a record's decision among all that the cascade can make, if they are constants."""
+        table, numbers = [], []
+        for s in self.stages:
+            inner, gates = _unwrap(s)
+            if not isinstance(inner, ConstantStage):
+                return None
+            numbers.append(inner.number(self.env, s.name, self._least(gates), table))
+        return (F.coalesce(*numbers), table) if table else None
+
+    def classify(self, df: DataFrame, tails: bool = False) -> DataFrame:
         """Add ``decision`` (null: for review) and ``error`` (stage, message) to each record.
 
         Column stages are one expression. A row stage gets only the records that are undecided
         there; the frame before it is persisted, so that earlier stages are not evaluated again.
+        With ``tails``, cascades of constant decisions add ``TAIL`` too: what a line of JSON says of
+        the decision, for sinks.
         """
+        if constants := self._constants():
+            number, table = constants
+            added = {"decision": F.get(literals([d.column() for d in table]), number), "error": F.lit(None).cast(ERROR)}
+            if tails:
+                said = [wire_tail(d.category, d.confidence, d.stage, d.reasons) for d in table]
+                added[TAIL] = F.coalesce(F.get(F.array(*map(F.lit, said)), number), F.lit(wire_tail()))
+            return df.withColumns(added)
         columns = [self._trusted(s) for s in self.stages]
         if all(c is not None for c in columns):
             return df.withColumn("decision", F.coalesce(*columns)).withColumn("error", F.lit(None).cast(ERROR))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import gotext
-from .stages import ColumnStage, Env, decision, first_hit
+from .stages import ConstantStage, Decided, Env
 
 
 @dataclass(frozen=True)
@@ -26,9 +26,7 @@ class MockMatcher:
     confidence: float = 0.0
 
 
-class MockStage(ColumnStage):
-    valid = True
-
+class MockStage(ConstantStage):
     def __init__(self, matchers: list[MockMatcher] = (), default: Outcome | None = None, name: str = "mock"):
         if not matchers and default is None:
             raise ValueError("mock: at least one matcher or a default is required")
@@ -49,11 +47,10 @@ class MockStage(ColumnStage):
             raise ValueError(f"mock: {where}: category {gotext.quote(category)} with confidence {gotext.number(confidence)} is invalid")
 
     @staticmethod
-    def _decision(category: str, confidence: float, name: str, least: float) -> Column:
-        detail = f"mock score {gotext.number(confidence)} for {gotext.quote(category)}"
-        return decision(category, confidence, name, [("mock", detail)], least)
+    def _decided(category: str, confidence: float, name: str) -> Decided:
+        return Decided(category, confidence, name, (("mock", f"mock score {gotext.number(confidence)} for {gotext.quote(category)}"),))
 
-    def decide(self, env: Env, name: str, least: float = 0.0) -> Column:
+    def cases(self, env: Env, name: str) -> tuple[list[tuple[Column, Decided]], Decided | None]:
         hit = lambda m: reduce(lambda a, b: a | b, (F.coalesce(F.contains(env.text(), F.lit(n)), F.lit(False)) for n in m.contains))
-        default = self._decision(self.default.category, self.default.confidence, name, least) if self.default else None
-        return first_hit(((hit(m), self._decision(m.category, m.confidence, name, least)) for m in self.matchers), default)
+        default = self._decided(self.default.category, self.default.confidence, name) if self.default else None
+        return [(hit(m), self._decided(m.category, m.confidence, name)) for m in self.matchers], default

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import gotext
 from ..functions.regex import PatternError, compile_pattern
-from .stages import ColumnStage, Env, decision, first_hit
+from .stages import ConstantStage, Decided, Env
 
 CONDITIONS = ("exact", "contains", "regex", "exists", "gt", "gte", "lt", "lte")
 
@@ -134,9 +134,7 @@ class _Compiled:
         return reduce(lambda a, b: a & b, [*blocks, *map(leaf, self.all)])
 
 
-class RulesStage(ColumnStage):
-    valid = True
-
+class RulesStage(ConstantStage):
     def __init__(self, rules: list[Rule], name: str = "rules"):
         self.name = name
         if not rules:
@@ -157,5 +155,5 @@ class RulesStage(ColumnStage):
         base += [_field(x, where) for x in r.fields]
         return _Compiled(r.category, r.id or r.category, base, [_item(x, where) for x in r.any], [_item(x, where) for x in r.all])
 
-    def decide(self, env: Env, name: str, least: float = 0.0) -> Column:
-        return first_hit((r.holds(env), decision(r.category, 1.0, name, [(r.code, r.detail())], least)) for r in self.rules)
+    def cases(self, env: Env, name: str) -> tuple[list[tuple[Column, Decided]], None]:
+        return [(r.holds(env), Decided(r.category, 1.0, name, ((r.code, r.detail()),))) for r in self.rules], None

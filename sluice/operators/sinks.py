@@ -9,7 +9,7 @@ from typing import IO, Protocol
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.wire import wire_line
+from ..functions.wire import TAIL, wire_line
 from ..model import INPUT, LINE
 
 KNOWN = (0.0, 1.0)
@@ -32,7 +32,7 @@ class JsonLines:
     written: int = 0
 
     def write(self, df: DataFrame) -> None:
-        lines = in_order(df.select(*(c for c in (INPUT, LINE) if c in df.columns), wire_line(list(KNOWN), self.exact).alias("line")))
+        lines = in_order(df.select(*(c for c in (INPUT, LINE) if c in df.columns), wire_line(list(KNOWN), self.exact, TAIL in df.columns).alias("line")))
         for row in lines.select("line").toLocalIterator():
             self.out.write(row["line"] + "\n")
             self.written += 1
@@ -48,7 +48,7 @@ class JsonLinesFolder:
     mode: str = "overwrite"
 
     def write(self, df: DataFrame) -> None:
-        df.select(wire_line(list(KNOWN), self.exact).alias("value")).write.mode(self.mode).text(self.path)
+        df.select(wire_line(list(KNOWN), self.exact, TAIL in df.columns).alias("value")).write.mode(self.mode).text(self.path)
 
 
 class Memory:
@@ -58,7 +58,8 @@ class Memory:
         self._rows: list[Row] = []
 
     def write(self, df: DataFrame) -> None:
-        shown = df.withColumn("fields", F.to_json("fields")) if "fields" in df.columns else df
+        shown = df.drop(TAIL)
+        shown = shown.withColumn("fields", F.to_json("fields")) if "fields" in df.columns else shown
         self._rows += in_order(shown).collect()
 
     def entries(self) -> list[Row]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,9 +14,6 @@ from .. import gotext
 from ..functions.fields import ColumnFields, ExactFields, VariantFields, literals
 from ..model import DECISION
 
-Reasons = list[tuple[str, str]]
-
-
 @dataclass(frozen=True)
 class Env:
     """The columns that stages read."""
@@ -56,28 +53,53 @@ class RowStage:
 
 
 
-def decision(category: str, confidence: float, stage: str, reasons: Reasons, least: float = 0.0) -> Column:
-    """A constant decision; null if it is below ``least``."""
-    if confidence < least:
-        return F.lit(None).cast(DECISION)
-    rows = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(d).alias("detail")) for c, d in reasons))
-    built = F.struct(F.lit(category).alias("category"), F.lit(float(confidence)).alias("confidence"), F.lit(stage).alias("stage"), rows.alias("reasons"))
-    return built.cast(DECISION)
+@dataclass(frozen=True)
+class Decided:
+    """A constant decision."""
+
+    category: str
+    confidence: float
+    stage: str
+    reasons: tuple[tuple[str, str], ...] = ()
+
+    def column(self) -> Column:
+        rows = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(d).alias("detail")) for c, d in self.reasons))
+        built = F.struct(
+            F.lit(self.category).alias("category"), F.lit(float(self.confidence)).alias("confidence"), F.lit(self.stage).alias("stage"), rows.alias("reasons")
+        )
+        return built.cast(DECISION)
+
 
+class ConstantStage(ColumnStage):
+    """A stage whose decisions are constants: the first case that holds gives its decision, or else the default.
+
+    Conditions give the number of a case, and one literal array, folded while the query is planned, the decisions.
+    """
 
-def first_hit(cases: Iterable[tuple[Column, Column]], default: Column | None = None) -> Column:
-    """The result of the first case that holds. Conditions give the number of a case; results are constants in one literal array."""
-    found = list(cases)
-    results = [result for _, result in found]
-    if default is not None:
-        results.append(default)
-    if not results:
-        return F.lit(None).cast(DECISION)
-    hit = None
-    for i, (holds, _) in enumerate(found):
-        hit = F.when(holds, i) if hit is None else hit.when(holds, i)
-    last = F.lit(len(found) if default is not None else None).cast("int")
-    return F.get(literals(results), last if hit is None else hit.otherwise(last))
+    valid = True
+
+    def cases(self, env: Env, name: str) -> tuple[list[tuple[Column, Decided]], Decided | None]:
+        raise NotImplementedError
+
+    def number(self, env: Env, name: str, least: float, table: list[Decided]) -> Column:
+        """The place in ``table`` of the decision, which is added there; null for none and for one below ``least``."""
+
+        def place(d: Decided | None) -> Column:
+            if d is None or d.confidence < least:
+                return F.lit(None).cast("int")
+            table.append(d)
+            return F.lit(len(table) - 1)
+
+        cases, default = self.cases(env, name)
+        out = None
+        for holds, d in cases:
+            out = F.when(holds, place(d)) if out is None else out.when(holds, place(d))
+        return place(default) if out is None else out.otherwise(place(default))
+
+    def decide(self, env: Env, name: str, least: float = 0.0) -> Column:
+        table: list[Decided] = []
+        number = self.number(env, name, least, table)
+        return F.get(literals([d.column() for d in table]), number) if table else F.lit(None).cast(DECISION)
 
 
 class Gate:

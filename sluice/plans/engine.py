@@ -158,7 +158,7 @@ class Engine:
         """The statistics; also in ``stats`` when an error is raised."""
         sc, self.stats = self.source.sparkSession.sparkContext, Stats()
         sc.addJobTag(self._tag)
-        df = self.cascade.classify(self.source)
+        df = self.cascade.classify(self.source, tails=True)
         if self.hold:
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:

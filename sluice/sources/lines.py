@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..model import ERROR
 
 MAX_LINE = 1 << 20
+#: Blocks whose first line numbers, one small row each, are sent to all executors; more are joined by a shuffle.
+MAX_BLOCKS = 100_000
 _BLANK = r"^[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*$"
 
 
@@ -38,11 +40,13 @@ def numbered(raw: DataFrame, each_file: bool = False) -> DataFrame:
     aggregate counts; the lines themselves are not shuffled or sorted.
     """
     raw = raw.withColumn("_at", F.monotonically_increasing_id())
-    blocks = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    counts = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     order = Window.partitionBy("_file").orderBy("_block") if each_file else Window.orderBy("_file", "_block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    out = raw.join(starts, ["_file", "_block"])
+    starts = counts.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    files = len(raw.inputFiles())
+    blocks = files + raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() / (64 << 20)
+    out = raw.join(F.broadcast(starts) if files and blocks <= MAX_BLOCKS else starts, ["_file", "_block"])
     return out.withColumn("_line", (F.col("_at") + F.col("_shift") + 1).cast("long")).drop("_at", "_shift")
 
 

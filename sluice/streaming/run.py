@@ -48,7 +48,7 @@ def run_stream(
         batch = batch.persist()
         try:
             found = records(numbered(batch, each_file=True), kind, F.col("_file"), F.col("_file"))
-            done = cascade.classify(found).persist()
+            done = cascade.classify(found, tails=True).persist()
             try:
                 commit(done, sink, review, stats, logger)
             finally:

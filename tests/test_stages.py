@@ -34,8 +34,7 @@ def test_paths():
     for missing in ("", "a.r.0", "a.z", "x.y", "a.b.c"):
         assert paths.get(fields, missing) == (None, False)
     assert paths.variant_path(["a b", 'c"d']) == "$[\"a b\"]['c\"d']"
-    with pytest.raises(ValueError):
-        paths.variant_path(["'\""])
+    assert paths.variant_path(["a", "b'\"c"]) is None
 
 
 @given(st.floats(allow_nan=False, allow_infinity=False))
