@@ -209,52 +209,64 @@ class Field:
         return labels[::-1]
 
 
-def train(pages: list[list[list[str]]], labels: list[list[int]], steps: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Field:
-    """Gradient ascent on the conditional log-likelihood (forward and backward over all pages at once)."""
-    names = sorted({f for p in pages for b in p for f in b})
-    place = {f: i for i, f in enumerate(names)}
-    n, t = len(pages), max(map(len, pages))
-    x = np.zeros((n, t, len(names)), np.float32)
-    y, mask = np.zeros((n, t), int), np.zeros((n, t), bool)
-    for i, (p, own) in enumerate(zip(pages, labels, strict=True)):
-        for j, b in enumerate(p):
-            x[i, j, [place[f] for f in b]] = 1
-        y[i, : len(own)], mask[i, : len(p)] = own, True
-    flat, last = x.reshape(n * t, -1), mask.sum(axis=1) - 1
-    theta = np.zeros(len(names) + 6)
-    drift, speed = np.zeros(len(theta)), np.zeros(len(theta))
-    gold = np.zeros(len(theta))
-    gold[: len(names)] = flat.T @ ((y == 1) & mask).ravel().astype(np.float32)
-    np.add.at(gold, len(names) + y[:, 0], 1)
-    both = mask[:, 1:]
-    np.add.at(gold, len(names) + 2 + (2 * y[:, :-1] + y[:, 1:])[both], 1)
-
-    def logsum(a: np.ndarray, axis: int) -> np.ndarray:
-        top = a.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-    for step_no in range(1, steps + 1):
-        start, move = theta[len(names) : len(names) + 2], theta[len(names) + 2 :].reshape(2, 2)
+def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+class Sample:
+    """Labelled pages for training. Weights are in the order of ``names``, then two for the start and four for moves."""
+
+    def __init__(self, pages: list[list[list[str]]], labels: list[list[int]]):
+        self.names = sorted({f for p in pages for b in p for f in b})
+        place = {f: i for i, f in enumerate(self.names)}
+        self.n, self.t = n, t = len(pages), max(map(len, pages))
+        x = np.zeros((n, t, len(self.names)), np.float32)
+        y, self.mask = np.zeros((n, t), int), np.zeros((n, t), bool)
+        for i, (p, own) in enumerate(zip(pages, labels, strict=True)):
+            for j, b in enumerate(p):
+                x[i, j, [place[f] for f in b]] = 1
+            y[i, : len(own)], self.mask[i, : len(p)] = own, True
+        self.flat, self.last, self.both = x.reshape(n * t, -1), self.mask.sum(axis=1) - 1, self.mask[:, 1:]
+        k = len(self.names)
+        self.gold = np.zeros(k + 6)
+        self.gold[:k] = self.flat.T @ ((y == 1) & self.mask).ravel().astype(np.float32)
+        np.add.at(self.gold, k + y[:, 0], 1)
+        np.add.at(self.gold, k + 2 + (2 * y[:, :-1] + y[:, 1:])[self.both], 1)
+
+    def slope(self, theta: np.ndarray) -> np.ndarray:
+        """The gradient of the mean log-likelihood (forward and backward over all pages at once)."""
+        n, t, k, mask, both = self.n, self.t, len(self.names), self.mask, self.both
+        start, move = theta[k : k + 2], theta[k + 2 :].reshape(2, 2)
         emit = np.zeros((n, t, 2))
-        emit[:, :, 1] = (flat @ theta[: len(names)].astype(np.float32)).reshape(n, t)
+        emit[:, :, 1] = (self.flat @ theta[:k].astype(np.float32)).reshape(n, t)
         fore, aft = np.zeros((n, t, 2)), np.zeros((n, t, 2))
         fore[:, 0] = start + emit[:, 0]
         for j in range(1, t):
-            step = logsum(fore[:, j - 1, :, None] + move, 1) + emit[:, j]
+            step = _logsum(fore[:, j - 1, :, None] + move, 1) + emit[:, j]
             fore[:, j] = np.where(mask[:, j, None], step, fore[:, j - 1])
         for j in range(t - 2, -1, -1):
-            step = logsum(move + (emit[:, j + 1] + aft[:, j + 1])[:, None, :], 2)
+            step = _logsum(move + (emit[:, j + 1] + aft[:, j + 1])[:, None, :], 2)
             aft[:, j] = np.where(mask[:, j + 1, None], step, 0)
-        total = logsum(fore[np.arange(n), last], 1)
+        total = _logsum(fore[np.arange(n), self.last], 1)
         node = np.exp(fore + aft - total[:, None, None]) * mask[:, :, None]
         edge = np.exp(fore[:, :-1, :, None] + move + (emit + aft)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
-        expected = np.concatenate([flat.T @ node[:, :, 1].ravel().astype(np.float32), node[:, 0].sum(axis=0), edge.sum(axis=(0, 1)).ravel()])
-        slope = (gold - expected) / n - decay * theta
+        expected = np.concatenate([self.flat.T @ node[:, :, 1].ravel().astype(np.float32), node[:, 0].sum(axis=0), edge.sum(axis=(0, 1)).ravel()])
+        return (self.gold - expected) / n
+
+
+def train(pages: list[list[list[str]]], labels: list[list[int]], steps: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Field:
+    """Gradient ascent on the conditional log-likelihood, with steps that follow the gradients' mean and size."""
+    sample = Sample(pages, labels)
+    theta = np.zeros(len(sample.gold))
+    drift, speed = np.zeros(len(theta)), np.zeros(len(theta))
+    for step_no in range(1, steps + 1):
+        slope = sample.slope(theta) - decay * theta
         drift, speed = 0.9 * drift + 0.1 * slope, 0.99 * speed + 0.01 * slope**2
         theta += rate * (drift / (1 - 0.9**step_no)) / (np.sqrt(speed / (1 - 0.99**step_no)) + 1e-8)
-    k = len(names)
+    k = len(sample.names)
     move = theta[k + 2 :].reshape(2, 2).tolist()
-    return Field(dict(zip(names, theta[:k].tolist(), strict=True)), tuple(theta[k : k + 2].tolist()), (tuple(move[0]), tuple(move[1])))
+    return Field(dict(zip(sample.names, theta[:k].tolist(), strict=True)), tuple(theta[k : k + 2].tolist()), (tuple(move[0]), tuple(move[1])))
 
 
 #: Marks main text while a page is made.

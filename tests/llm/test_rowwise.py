@@ -4,7 +4,9 @@ import hashlib
 import random
 import time
 import zlib
+from itertools import pairwise, product
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -15,6 +17,8 @@ from sluice.llm import htmlmain, langid, media, tokencount, urltrie
 from sluice.llm.spans import Texts
 from sluice.llm.wordids import WordIds
 
+from hand_pages import PAGES
+
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -201,6 +205,36 @@ def test_field_decodes_as_brute_force():
         assert score(field.decode(page)) == pytest.approx(score(best))
 
 
+def test_slope_by_enumeration():
+    """The gradient of training against differences of the log-likelihood, summed over all labellings of small pages."""
+    rng = random.Random(2)
+    pages = [[rng.sample("abcd", rng.randint(1, 3)) for _ in range(n)] for n in (1, 2, 4, 5)]
+    labels = [[rng.randint(0, 1) for _ in p] for p in pages]
+    sample = htmlmain.Sample(pages, labels)
+    k = len(sample.names)
+
+    def mean(theta):
+        def score(page, own):
+            out = theta[k + own[0]] + sum(theta[k + 2 + 2 * a + b] for a, b in pairwise(own))
+            return out + sum(theta[sample.names.index(f)] for block, y in zip(page, own, strict=True) if y for f in block)
+
+        whole = [score(p, own) - np.log(sum(np.exp(score(p, x)) for x in product((0, 1), repeat=len(p)))) for p, own in zip(pages, labels, strict=True)]
+        return sum(whole) / len(pages)
+
+    for _ in range(3):
+        theta = np.array([rng.uniform(-1.5, 1.5) for _ in range(k + 6)])
+        slope = sample.slope(theta)
+        for i in range(k + 6):
+            step = np.eye(k + 6)[i] * 1e-5
+            assert slope[i] == pytest.approx((mean(theta + step) - mean(theta - step)) / 2e-5, abs=2e-5)
+
+
+def test_pages_labelled_by_hand():
+    field = htmlmain.trained()
+    wrong = [name for name, html, want in PAGES if htmlmain.extract(html, field) != "\n\n".join(want)]
+    assert len(PAGES) == 30 and not wrong
+
+
 def test_field_on_other_labelled_pages():
     pages, labels = htmlmain.made_pages(200, seed=99)
     field = htmlmain.trained()
