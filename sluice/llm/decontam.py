@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import Numbers, Texts, classes, joined, mixed, parts
-from .util import claim
+from .util import claim, mapped
 
 WINDOW = 6
 MIN_COVERAGE = 0.3
@@ -417,7 +417,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
                     cols = [pa.array([f[j + 1] for f in found], k) for j, k in enumerate(kinds)]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([f[0] for f in found]), *cols], names)
 
-        leaks = df.select(key, text).mapInArrow(run, schema)
+        leaks = mapped(df.select(key, text), run, schema)
         out = leaks if out is None else out.union(leaks)
     return out
 
@@ -438,5 +438,5 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
                         keep[low + i] = False
                 yield b.filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
+        df = mapped(df, run, df.schema)
     return df

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .util import mapped
+
 #: Elements whose content is no text of the page.
 _RAW = "script|style|noscript|template|svg|iframe|object|canvas|select|textarea|title|math"
 _MARKUP = re.compile(
@@ -414,4 +416,4 @@ def main_text(df: DataFrame, field: Field | None = None, key: str = "page_id", u
             cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [key, url, "text", "n_chars"])
 
-    return df.select(key, url, html).mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")
+    return mapped(df.select(key, url, html), run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import LOWER, Texts, hashes, joined, mixed, parts
-from .util import claim, discard, saved, scratch, transient
+from .util import claim, discard, mapped, saved, scratch, transient
 
 #: Bytes of keys that are sent to all executors at most; beyond it, a shuffle finds the rows.
 BROADCAST_BYTES = 48 << 20
@@ -105,7 +105,7 @@ def _sets(df: DataFrame, key: str, text: str, k: int, keep: Callable[[np.ndarray
                 ids = b.column(0).slice(low, len(sets))
                 yield pa.RecordBatch.from_arrays([ids, sizes, keys, _arrays([keep(s) for s in sets])], [key, "n", "set", "grams"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, set binary, grams array<long>")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, n long, set binary, grams array<long>")
 
 
 def _free(df: DataFrame) -> None:

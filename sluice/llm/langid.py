@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import claim
+from .util import claim, mapped
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -161,7 +161,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
     n_langs = rows.select("lang").distinct().count()
     if n_langs > MAX_LANGS:
         raise ValueError(f"{n_langs} languages; the matrix is broadcast for at most {MAX_LANGS}")
-    sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = mapped(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     names = np.array(found.column("lang").to_pylist(), dtype=object)
     langs = tuple(sorted(set(names)))
@@ -187,7 +187,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(probs, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [key, *carry, "lang_pred", "score"])
 
-    return df.select(key, *carry, text).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return mapped(df.select(key, *carry, text), run, f"{fields}, lang_pred string, score double")
 
 
 def known(df: DataFrame, model: Model, min_lift: float = 0.0, text: str = "text") -> DataFrame:
@@ -200,7 +200,7 @@ def known(df: DataFrame, model: Model, min_lift: float = 0.0, text: str = "text"
             names, _, lifts = sent.value.score(b.column(place).to_pylist())
             yield b.filter(pa.array([n != UNKNOWN and x >= min_lift for n, x in zip(names, lifts, strict=True)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def remainder(key: str = "doc_id") -> Column:

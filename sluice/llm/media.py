@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .util import mapped
+
 RATE = 8000
 PACKET = 4096
 STREAMS = 2
@@ -210,7 +212,7 @@ def ogg_store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             media = pa.array([encode(padded(t)) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), media], [key, "n_bytes", "media"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
 def ogg_read(df: DataFrame, key: str = "doc_id", media: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -236,4 +238,4 @@ def ogg_read(df: DataFrame, key: str = "doc_id", media: str = "media", carry: tu
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names)
 
     out = fields + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, problem string"
-    return df.select(key, *carry, media).mapInArrow(run, out)
+    return mapped(df.select(key, *carry, media), run, out)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import parts
-from .util import saved, with_rank
+from .util import mapped, saved, with_rank
 from .wordids import word_ids
 
 LIMIT, UNIT, END = 4096, 16, 2
@@ -140,7 +140,7 @@ def pieces(df: DataFrame, file: str, limit: int = LIMIT, end: int = END, key: st
                 [key, "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def bundled(histogram: dict[int, int], limit: int) -> tuple[dict[int, int], list[tuple[int, int, int, int, int]]]:

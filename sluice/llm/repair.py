@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import parts
-from .util import saved
+from .util import mapped, saved
 from .wordids import word_ids
 
 END = 2
@@ -224,7 +224,7 @@ def write_shards(df: DataFrame, file: str, end: int = END, key: str = "doc_id",
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the second column parts rows of one key; their order among themselves is free
     ordered = df.select(key, text).repartitionByRange(n, key, F.xxhash64(text)).sortWithinPartitions(key)
-    return saved(ordered.mapInArrow(run, f"part long, shard long, keys array<{kind}>, n_ids long, data binary"), "repair-shards")
+    return saved(mapped(ordered, run, f"part long, shard long, keys array<{kind}>, n_ids long, data binary"), "repair-shards")
 
 
 def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -242,7 +242,7 @@ def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
                 cols = [*same, b.column(2)[i].values, pa.array(starts), pa.array(n), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "shard", key, "own", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "shard", "keys", "data").mapInArrow(run, f"part long, shard long, `{key}` {kind}, own long, n_tokens long, ids_crc32 long")
+    rows = mapped(shards.select("part", "shard", "keys", "data"), run, f"part long, shard long, `{key}` {kind}, own long, n_tokens long, ids_crc32 long")
     parts = shards.groupBy(F.col("part").alias("p")).agg(F.sum("n_ids").alias("ids"))
     upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("p", F.coalesce(F.sum("ids").over(upto), F.lit(0)).alias("part_start"))

@@ -18,7 +18,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .util import claim
+from .util import claim, mapped
 
 SPACE = "▁"
 #: Entries in a worker's cache of chunks; at that size it starts anew.
@@ -146,4 +146,4 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, key: str = "
             cols = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [key, "n_bytes", "n_tokens", "over_limit"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

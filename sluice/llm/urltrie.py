@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .util import mapped
+
 ALLOW, BLOCK = "allow", "block"
 #: Lists beyond this size are refused: the trie goes to every executor.
 MAX_RULES = 2_000_000
@@ -109,4 +111,4 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]], default: s
             cols = [[p[0] for p in parts], [p[1] for p in parts], [f[0] for f in found], [f[1] for f in found]]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols)], [key, "host", "path", "rule", "verdict"])
 
-    return df.select(key, url).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return mapped(df.select(key, url), run, f"`{key}` {kind}, host string, path string, rule string, verdict string")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 
 _claimed: list = ["", None]
 
@@ -27,13 +28,21 @@ def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
         _claimed[:] = [owner, clear]
 
 
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches that Python workers hold, since a single text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the Arrow batches that Python workers hold, since a single text may be very long. A lower bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
