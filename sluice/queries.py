@@ -483,10 +483,10 @@ def _folder(spark: SparkSession, tag: str) -> str:
     return f"{top}/{tag}-{uuid.uuid4().hex}"
 
 
-def _spooled(df: DataFrame, tag: str) -> str:
-    """One text file of a string column, in the frame's order."""
+def _spooled(df: DataFrame, tag: str, one: bool = False) -> str:
+    """A folder of text files of a sorted string column: the files' names are in the frame's order, as are their lines."""
     path = _folder(df.sparkSession, tag)
-    df.coalesce(1).write.text(path)
+    (df.coalesce(1) if one else df).write.text(path)
     return path
 
 
@@ -502,9 +502,9 @@ def text_scan_ids(spark, sf_dir):
 _JSON_SQL = """'{"type":"' || event_type || '","user":' || user_id || ',"props":' || props || '}'"""
 
 
-def _event_lines(spark, sf_dir, line: Column) -> str:
+def _event_lines(spark, sf_dir, line: Column, one: bool = False) -> str:
     text = F.concat(F.lit('{"type":"'), "event_type", F.lit('","user":'), F.col("user_id").cast("string"), F.lit(',"props":'), "props", F.lit("}"))
-    return _spooled(table(spark, sf_dir, "events").withColumn("j", text).orderBy("event_id").select(line), "events")
+    return _spooled(table(spark, sf_dir, "events").withColumn("j", text).orderBy("event_id").select(line), "events", one)
 
 
 @query(f"""SELECT 'ev:' || n AS id, event_type AS type FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS n FROM events) WHERE event_id % 5 <> 0""")
@@ -614,7 +614,7 @@ def stats_after_sink_error(spark, sf_dir):
   WHERE event_type = 'error' AND (stop IS NULL OR event_id < stop)""")
 def stream_stage_error(spark, sf_dir):
     """The lines that a stream has written when a stage fails on a record."""
-    path, out = _event_lines(spark, sf_dir, F.when(F.col("event_id") % 4999 == 4998, F.lit('{"fail":1}')).otherwise(F.col("j"))), _folder(spark, "stream-error")
+    path, out = _event_lines(spark, sf_dir, F.when(F.col("event_id") % 4999 == 4998, F.lit('{"fail":1}')).otherwise(F.col("j")), one=True), _folder(spark, "stream-error")
 
     def careful(rows):
         return [ValueError("refused") if b'"fail"' in r["data"] else None for r in rows]
