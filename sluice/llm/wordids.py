@@ -76,7 +76,7 @@ class WordIds:
 
     def _plain(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lines = [b" ".join(parts[i : i + _JOINED]).decode("latin-1").translate(self.letters) for i in range(0, len(parts), _JOINED)]
-        found = [np.asarray(e.ids, np.int64) for e in self.words.encode_batch(lines, add_special_tokens=False)]
+        found = [np.asarray(e.ids, np.int64) for e in self.words.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.int64), *found])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(parts):
@@ -88,7 +88,7 @@ class WordIds:
         ids, lens = self._plain([p for p, o in zip(parts, other.tolist(), strict=True) if not o])
         if other.any():
             texts = [p.decode("utf-8", "replace") for p, o in zip(parts, other.tolist(), strict=True) if o]
-            found = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             more = np.array([len(x) for x in found], np.int64)
             every = np.empty(len(parts), np.int64)
             every[~other], every[other] = lens, more
