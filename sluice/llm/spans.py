@@ -142,50 +142,43 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-class Numbers:
-    """Numbers 0, 1, 2, ... of the distinct words that were seen, by their whole bytes.
-
-    Words of up to 23 bytes are keys of an open-addressing table; longer ones of a dictionary.
-    """
+class _Table:
+    """An open-addressing table from keys of one or more 64-bit lanes to numbers; slots hold places of keys that lie in a row."""
 
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.count = self.entries = self.long_bytes = 0
+    def __init__(self, lanes: int):
+        self.entries = 0
         self._slots = np.full(1 << 12, -1, np.int32)
-        self._keys, self._value = np.zeros((1 << 11, _LANES), np.uint64), np.zeros(1 << 11, np.int32)
-        self._long: dict[bytes, int] = {}
-
-    @staticmethod
-    def _lanes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        view, lens, out = _eights(buf), ends - starts, np.empty((len(starts), _LANES), np.uint64)
-        for k in range(_LANES):
-            out[:, k] = view[starts + 8 * k] & _LOW_BYTES[np.clip(lens - 8 * k, 0, 8)]
-        out[:, -1] |= lens.astype(np.uint64) << np.uint64(56)  # the length tells zero bytes from none
-        return out
+        self._keys, self._value = [np.zeros(1 << 11, np.uint64) for _ in range(lanes)], np.zeros(1 << 11, np.int32)
 
     @staticmethod
-    def _hash(keys: np.ndarray) -> np.ndarray:
-        h = keys[:, 0] * _M[1]
-        for k in range(1, _LANES):
-            h = joined(h, keys[:, k])
+    def hash(keys: list[np.ndarray]) -> np.ndarray:
+        h = keys[0] * _M[1]
+        for lane in keys[1:]:
+            h = joined(h, lane)
         return mixed(h)
 
-    def _find(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Places of the keys; -1 for those that aren't there."""
+    def _same(self, e: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+        same = e >= 0
+        for there, own in zip(self._keys, keys, strict=True):
+            same &= there[e] == own
+        return same
+
+    def find(self, keys: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Numbers of the keys; -1 for those that aren't there."""
         mask = len(self._slots) - 1
-        out, todo, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        e = self._slots[slot]
+        same = self._same(e, keys)
+        out = np.where(same, self._value[e], -1)
+        todo = np.flatnonzero(~same & (e >= 0))
+        slot = slot[todo]
         while len(todo):
+            slot = (slot + 1) & mask
             e = self._slots[slot]
-            full = e >= 0
-            todo, e, slot = todo[full], e[full], slot[full]
-            there, own = self._keys[e], keys[todo]
-            same = there[:, 0] == own[:, 0]
-            for k in range(1, _LANES):
-                same &= there[:, k] == own[:, k]
-            out[todo[same]] = e[same]
-            todo, slot = todo[~same], (slot[~same] + 1) & mask
+            same = self._same(e, [lane[todo] for lane in keys])
+            out[todo[same]] = self._value[e[same]]
+            on = ~same & (e >= 0)
+            todo, slot = todo[on], slot[on]
         return out
 
     def _place(self, h: np.ndarray, entries: np.ndarray) -> None:
@@ -197,34 +190,68 @@ class Numbers:
             left = self._slots[slot] != entries
             entries, slot = entries[left], (slot[left] + 1) & mask
 
-    def _add(self, keys: np.ndarray, h: np.ndarray, values: np.ndarray) -> None:
-        first, to = self.entries, self.entries + len(keys)
-        while to > len(self._keys):
-            self._keys, self._value = np.concatenate([self._keys, np.zeros_like(self._keys)]), np.concatenate([self._value, np.zeros_like(self._value)])
-        self._keys[first:to], self._value[first:to] = keys, values
+    def add(self, keys: list[np.ndarray], h: np.ndarray, values: np.ndarray) -> None:
+        first, to = self.entries, self.entries + len(h)
+        while to > len(self._value):
+            self._keys = [np.concatenate([lane, np.zeros_like(lane)]) for lane in self._keys]
+            self._value = np.concatenate([self._value, np.zeros_like(self._value)])
+        for there, own in zip(self._keys, keys, strict=True):
+            there[first:to] = own
+        self._value[first:to] = values
         self.entries = to
         if 2 * to > len(self._slots):
             self._slots = np.full(len(self._slots) << (2 * to // len(self._slots)).bit_length(), -1, np.int32)
-            self._place(self._hash(self._keys[:to]), np.arange(to))
+            self._place(self.hash([lane[:to] for lane in self._keys]), np.arange(to))
         else:
             self._place(h, np.arange(first, to))
 
+
+class Numbers:
+    """Numbers 0, 1, 2, ... of the distinct words that were seen, by their whole bytes.
+
+    Words of up to 7 bytes, most of a text, are keys of one lane, words of up to 23 bytes keys of three; longer ones are
+    keys of a dictionary. A key holds its word's length, which tells zero bytes from none.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    @property
+    def entries(self) -> int:
+        return sum(t.entries for t in self._tables)
+
+    def clear(self) -> None:
+        self.count = self.long_bytes = 0
+        self._tables = [_Table(1), _Table(_LANES)]
+        self._long: dict[bytes, int] = {}
+
+    @staticmethod
+    def _lanes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, lanes: int) -> list[np.ndarray]:
+        view = _eights(buf)
+        if lanes == 1:
+            out = [view[starts] & _LOW_BYTES[lens]]
+        else:
+            out = [view[starts + 8 * k] & _LOW_BYTES[np.clip(lens - 8 * k, 0, 8)] for k in range(lanes)]
+        out[-1] |= lens.astype(np.uint64) << np.uint64(56)
+        return out
+
     def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn: Callable[[np.ndarray, list[bytes]], None]) -> np.ndarray:
         """The number of each word. ``learn`` gets the new words, which are numbered from ``count`` on, and where in ``starts`` one of each is."""
         lens = ends - starts
         out = np.empty(len(starts), np.int64)
-        short = np.flatnonzero(lens <= _SHORT)
-        keys = self._lanes(buf, starts[short], ends[short])
-        h = self._hash(keys)
-        at = self._find(keys, h)
-        while len(missing := np.flatnonzero(at < 0)):  # again only where two words have one hash
-            first = missing[np.unique(h[missing], return_index=True)[1]]
-            reps = short[first]
-            learn(reps, [buf[a:b].tobytes() for a, b in zip(starts[reps].tolist(), ends[reps].tolist(), strict=True)])
-            self._add(keys[first], h[first], np.arange(self.count, self.count + len(first)))
-            self.count += len(first)
-            at[missing] = self._find(keys[missing], h[missing])
-        out[short] = self._value[at]
+        brief = lens < 8
+        for table, lanes, own in zip(self._tables, (1, _LANES), (np.flatnonzero(brief), np.flatnonzero(~brief & (lens <= _SHORT))), strict=True):
+            keys = self._lanes(buf, starts[own], lens[own], lanes)
+            h = table.hash(keys)
+            found = table.find(keys, h)
+            while len(missing := np.flatnonzero(found < 0)):  # again only where two words have one hash
+                first = missing[np.unique(h[missing], return_index=True)[1]]
+                reps = own[first]
+                learn(reps, [buf[a:b].tobytes() for a, b in zip(starts[reps].tolist(), ends[reps].tolist(), strict=True)])
+                table.add([lane[first] for lane in keys], h[first], np.arange(self.count, self.count + len(first)))
+                self.count += len(first)
+                found[missing] = table.find([lane[missing] for lane in keys], h[missing])
+            out[own] = found
         long = np.flatnonzero(lens > _SHORT).tolist()
         if long:
             words = [buf[starts[i] : ends[i]].tobytes() for i in long]
