@@ -61,12 +61,18 @@ def _hits(codes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     bits = max(16, (8 * len(pairs)).bit_length())
     wide = codes.dtype == np.uint64
     slot = (lambda c: (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)) if wide else (lambda c: (c * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits))
-    filter_ = np.zeros(1 << bits, bool)
-    filter_[slot(pairs)] = True
-    at = np.flatnonzero(filter_[slot(codes)])
-    found = np.searchsorted(pairs, codes[at])
-    found[found == len(pairs)] = 0
-    hit = pairs[found] == codes[at]
+    holder = np.full(1 << bits, -1, np.int32)
+    holder[slot(pairs)] = np.arange(len(pairs))
+    found = holder[slot(codes)]
+    at = np.flatnonzero(found >= 0)
+    found, codes = found[at], codes[at]
+    hit = pairs[found] == codes
+    # a slot that pairs share holds one of them: other codes there are looked up among all
+    rest = np.flatnonzero(~hit)
+    place = np.searchsorted(pairs, codes[rest])
+    place[place == len(pairs)] = 0
+    found[rest] = place
+    hit[rest] = pairs[place] == codes[rest]
     return at[hit], found[hit]
 
 
