@@ -1,6 +1,7 @@
 import io
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,41 @@ def test_wordpiece(spark):
     assert rows[0]["encoding"]["mask"] == [1, 1, 1, 1] and rows[0]["encoding"]["type_ids"] == [0] * 4 and rows[1]["encoding"] is None
 
 
+def test_wordpiece_arrays_are_small_whatever_the_batch(spark):
+    t = WordPiece.parse(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "##a", ",", "b"])
+    texts = ["a" * 90 + " b," * 500, None, "", "\tb\n\ra\x0ba\u00a0b", *["a, b " * 400] * 3000, "b " * 300_000]
+    made = list(t.encode_batches([pa.array(texts, pa.string()), pa.array([], pa.string())]))
+    assert max(x.nbytes for x in made[:-1]) < 8e6 and len(made[-1]) == 1
+    rows = [r for x in made[:2] for r in x.to_pylist()]
+    assert rows == [x if x is None else vars(t.encode(x)) for x in texts[: len(rows)]] and sum(map(len, made)) == len(texts)
+    assert rows[3]["tokens"] == ["[CLS]", "b", "a", "##a", "b", "[SEP]"] and made[-1][0]["ids"].as_py() == [2, *[7] * 300_000, 3]
+    df = spark.range(700).select("id", F.expr("if(id % 7 = 3, null, repeat('a, b ', cast(id as int)))").alias("t")).coalesce(1)
+    rows = encode_column(df, t, "t").select("id", F.size("encoding.tokens").alias("n"), F.array_distinct("encoding.ids").alias("ids")).collect()
+    assert [r["n"] for r in rows] == [None if i % 7 == 3 else 2 + 3 * i for i in range(700)] and rows[-1]["ids"] == [2, 4, 6, 7, 3]
+    assert encode_column(df.where("id < 0"), t, "t").count() == 0 and encode_column(df.where("id < 0"), t, "t").collect() == []
+
+
+@pytest.mark.parametrize("options", [{}, {"lowercase": False}, {"max_len": 5}, {"max_len": 2}, {"max_chars_per_word": 2}])
+def test_wordpiece_of_odd_texts(options):
+    vocab = ["[UNK]", "[CLS]", "[SEP]", "a", "##a", "aa", "##\u03c3", "\u03c3", "i", ".", "`", "\u4e2d", "A", "##bc"]
+    odd = {
+        "aaa.a": ["aa", "##a", ".", "a"], "\u4e2d\u4e2da": ["\u4e2d", "\u4e2d", "a"], "a\u200ba\x00a": ["aa", "##a"], "a\u2028a": ["a", "a"], "\u1fef": ["`"],
+        "abc abd": ["a", "##bc", "[UNK]"], "A\u0301": ["a"], "\u0130": ["i"], "\u03a3\u03a3": ["\u03c3", "##\u03c3"], "": [], " \n": [], "a" * 300 + " a" * 200_000: ["[UNK]"] + ["a"] * 200_000,
+    }
+    t = WordPiece.parse(vocab, **options)
+    for text, want in odd.items():
+        found = t.encode(text)
+        assert len(found.ids) == len(found.mask) == len(found.tokens) and [vocab[i] for i in found.ids] == found.tokens
+        if not options:
+            assert found.tokens[1:-1] == want
+        if "max_len" in options:
+            assert found.tokens[1:-1] == want[: options["max_len"] - 2]
+    if "lowercase" in options:
+        assert t.encode("A a").tokens[1:-1] == ["A", "a"] and t.encode("\u00c1").tokens[1:-1] == ["[UNK]"]
+    if "max_chars_per_word" in options:
+        assert t.encode("aaa aa.").tokens[1:-1] == ["[UNK]", "aa", "."]
+
+
 def test_a_run_can_be_cancelled(spark):
     import threading
     import time
