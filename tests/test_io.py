@@ -281,6 +281,12 @@ def test_wordpiece_of_odd_texts(options):
         assert t.encode("aaa aa.").tokens[1:-1] == ["[UNK]", "aa", "."]
 
 
+def test_wordpiece_matches_no_words_far_behind_the_cut():
+    t = WordPiece.parse(["[UNK]", "[CLS]", "[SEP]", "a", "##a"], max_len=16)
+    assert t.encode(" ".join("a" * (i % 30 + 1) + f" x{i}" for i in range(10_000))).tokens == "[CLS] a [UNK] a ##a [UNK] a ##a ##a [UNK] a ##a ##a ##a [UNK] [SEP]".split()
+    assert len(t.cache) < 100
+
+
 def test_a_run_can_be_cancelled(spark):
     import threading
     import time
