@@ -1,3 +1,4 @@
+import contextlib
 import io
 import json
 
@@ -260,6 +261,38 @@ def test_wordpiece_arrays_are_small_whatever_the_batch(spark):
     assert encode_column(df.where("id < 0"), t, "t").count() == 0 and encode_column(df.where("id < 0"), t, "t").collect() == []
 
 
+def test_wordpiece_workers_do_not_hold_the_encodings_of_a_batch(spark):
+    import threading
+
+    psutil = pytest.importorskip("psutil")
+
+    def workers():
+        found = {}
+        for p in psutil.Process().children(recursive=True):
+            with contextlib.suppress(psutil.Error):
+                if "python" in p.name():
+                    found[p.pid] = p.memory_info().rss / 2**20
+        return found
+
+    t = WordPiece.parse(["[UNK]", "[CLS]", "[SEP]", "a", "##b"])
+    df = encode_column(spark.range(0, 5000, 1, 1).select(F.expr("repeat('ab ', 1000)").alias("t")), t, "t")
+    before, most, done = workers(), {}, threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            for pid, mb in workers().items():
+                most[pid] = max(most.get(pid, 0), mb)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert df.agg(F.sum(F.size("encoding.ids"))).head()[0] == 5000 * 2002
+    finally:
+        done.set()
+        watcher.join()
+    assert 0 < max(mb - before.get(pid, 0) for pid, mb in most.items()) < 250
+
+
 @pytest.mark.parametrize("options", [{}, {"lowercase": False}, {"max_len": 5}, {"max_len": 2}, {"max_chars_per_word": 2}])
 def test_wordpiece_of_odd_texts(options):
     vocab = ["[UNK]", "[CLS]", "[SEP]", "a", "##a", "aa", "##\u03c3", "\u03c3", "i", ".", "`", "\u4e2d", "A", "##bc"]
