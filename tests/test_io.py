@@ -320,6 +320,20 @@ def test_wordpiece_matches_no_words_far_behind_the_cut():
     assert len(t.cache) < 100
 
 
+def test_wordpiece_takes_no_memory_for_words_far_behind_the_cut():
+    import tracemalloc
+
+    t = WordPiece.parse(["[UNK]", "[CLS]", "[SEP]", "a", "##b", ","], max_len=16)
+    text = "ab,\n\tab " * 200_000
+    tracemalloc.start()
+    try:
+        found = t.encode(text).tokens
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == ["[CLS]", *(["a", "##b", ",", "a", "##b"] * 3)[:14], "[SEP]"] and most < 3 * len(text)
+
+
 def test_a_run_can_be_cancelled(spark):
     import threading
     import time
